@@ -1,6 +1,9 @@
 """All registered queries; importing this module fills the registry."""
 
-from peakloom.plans import library_queries  # noqa: F401
+from peakloom.plans import (  # noqa: F401
+    library_queries,
+    series_queries,
+)
 from peakloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
