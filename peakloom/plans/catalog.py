@@ -3,6 +3,7 @@
 from peakloom.plans import (  # noqa: F401
     library_queries,
     series_queries,
+    spectrum_queries,
 )
 from peakloom.plans.registry import ORACLES, QUERIES
 
