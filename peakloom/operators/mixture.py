@@ -1,7 +1,9 @@
 """One-dimensional Gaussian mixtures on log intensity, fitted for all groups at once.
 
-Every EM step is one aggregation over the merged values of all groups and of all
-component counts; only the parameters (a few numbers per group) pass between steps.
+Equal values are merged first.  Groups with few distinct values are fitted in one
+pass, each as a short array; for larger groups every EM step is one aggregation over
+all groups and component counts, and only the parameters pass between steps.  Both
+ways run the same steps from the same start.
 """
 
 from __future__ import annotations
@@ -9,16 +11,19 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from peakloom.config import MixtureConfig
 from peakloom.session import broadcast_if_small, cut_lineage, is_small
 
 # Added to every variance, so a component on equal values stays finite.
 VARIANCE_FLOOR = 1e-6
-# EM steps between two checkpoints.
-STEPS_PER_JOB = 4
+# Groups up to this many distinct values are fitted as one array.
+SMALL_GROUP = 4_096
 
 
 def _log_densities(x: Column, k_max: int) -> list[Column]:
@@ -38,21 +43,73 @@ def _largest(columns: list[Column]) -> Column:
 def fit(values: DataFrame, keys: Sequence[str], config: MixtureConfig) -> DataFrame:
     """Parameters of the best mixture (lowest BIC) per group.
 
-    ``values`` has keys and ``intensity``.  Columns: keys, k, parts (array of w, m, v by
+    ``values`` has keys and ``intensity``.  Columns: keys, k, parts (array of m, v, w by
     ascending mean), bic.
     """
     keys = list(keys)
     positive = F.greatest("intensity", F.lit(1e-8))
     x = (F.log(positive) if config.use_log else positive).alias("x")
     data = cut_lineage(values.select(*keys, x).groupBy(*keys, "x").agg(F.count("*").alias("n")))
+    sizes = data.groupBy(*keys).agg(F.count("*").alias("distinct"))
+    small = data.join(sizes.filter(F.col("distinct") <= SMALL_GROUP), keys, "left_semi")
+    large = data.join(sizes.filter(F.col("distinct") > SMALL_GROUP), keys, "left_semi")
+    fitted = _fit_small(small, keys, config)
+    return fitted if large.isEmpty() else fitted.unionByName(_fit_large(cut_lineage(large), keys, config))
+
+
+def em_fit(x: np.ndarray, n: np.ndarray, k: int, max_iter: int, tol: float):
+    """(w, m, v, mean log likelihood) of a k-component mixture of weighted values."""
+    total = n.sum()
+    mean = (n * x).sum() / total
+    w = np.full(k, 1.0 / k)
+    m = np.quantile(np.repeat(x, n), [(i + 0.5) / k for i in range(k)])
+    v = np.full(k, max((n * x * x).sum() / total - mean * mean, 0.0) + VARIANCE_FLOOR)
+    last = -np.inf
+    for _ in range(max_iter):
+        d = np.log(w) - 0.5 * (np.log(2 * np.pi) + np.log(v) + (x[:, None] - m) ** 2 / v)
+        top = d.max(axis=1)
+        norm = top + np.log(np.exp(d - top[:, None]).sum(axis=1))
+        share = np.exp(d - norm[:, None]) * n[:, None]
+        r = np.maximum(share.sum(axis=0), 1e-12)
+        m = (share * x[:, None]).sum(axis=0) / r
+        v = np.maximum((share * x[:, None] ** 2).sum(axis=0) / r - m * m, 0.0) + VARIANCE_FLOOR
+        w = r / total
+        fit_now = (norm * n).sum() / total
+        if abs(fit_now - last) < tol:
+            return w, m, v, fit_now
+        last = fit_now
+    return w, m, v, last
+
+
+_PART = T.StructType().add("m", "double").add("v", "double").add("w", "double")
+_MODEL = T.StructType().add("k", "integer").add("parts", T.ArrayType(_PART)).add("bic", "double")
+
+
+def _fit_small(data: DataFrame, keys: list[str], config: MixtureConfig) -> DataFrame:
+    def best(x: np.ndarray, n: np.ndarray) -> tuple:
+        found = None
+        for k in range(config.min_components, min(config.max_components, int(n.sum())) + 1):
+            w, m, v, loglik = em_fit(x, n, k, config.max_iter, config.tol)
+            bic = -2.0 * loglik * n.sum() + (3 * k - 1) * math.log(n.sum())
+            if found is None or bic < found[2]:
+                found = (k, sorted(zip(m.tolist(), v.tolist(), w.tolist())), bic)
+        return found
+
+    @F.pandas_udf(_MODEL)
+    def solve(x: pd.Series, n: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([best(np.array(a), np.array(b)) for a, b in zip(x, n)], columns=["k", "parts", "bic"])
+
+    grouped = data.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "n"))).alias("xs"))
+    return grouped.select(*keys, solve(F.col("xs")["x"], F.col("xs")["n"]).alias("s")).select(*keys, "s.*")
+
+
+def _fit_large(data: DataFrame, keys: list[str], config: MixtureConfig) -> DataFrame:
     ks = range(config.min_components, config.max_components + 1)
-
     # Start: means at evenly spaced quantiles, common variance, equal weights.
     points = sorted({(i + 0.5) / k for k in ks for i in range(k)})
     grid = "array(" + ", ".join(f"{p!r}D" for p in points) + ")"
     start = data.groupBy(*keys).agg(
         F.sum("n").alias("total"),
-        F.count("*").alias("distinct"),
         F.expr(f"percentile(x, {grid}, n)").alias("q"),
         (F.sum(F.col("n") * F.col("x") * F.col("x")) / F.sum("n")).alias("xx"),
         (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("mx"),
@@ -75,10 +132,8 @@ def fit(values: DataFrame, keys: Sequence[str], config: MixtureConfig) -> DataFr
     )
     models = cut_lineage(models)
     small = is_small(models)
-    for first in range(0, config.max_iter, STEPS_PER_JOB):
-        for _ in range(min(STEPS_PER_JOB, config.max_iter - first)):
-            models = _step(data, F.broadcast(models) if small else models, keys, config)
-        models = cut_lineage(models)
+    for _ in range(config.max_iter):
+        models = cut_lineage(_step(data, F.broadcast(models) if small else models, keys, config))
         if models.filter("NOT done").isEmpty():
             break
     bic = F.lit(-2.0) * F.col("fit") * F.col("total") + (F.lit(3) * F.col("k") - 1) * F.log("total")
