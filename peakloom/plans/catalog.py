@@ -1,6 +1,7 @@
 """All registered queries; importing this module fills the registry."""
 
 from peakloom.plans import (  # noqa: F401
+    cluster_queries,
     library_queries,
     series_queries,
     spectrum_queries,
