@@ -5,6 +5,8 @@ from peakloom.plans import (  # noqa: F401
     library_queries,
     series_queries,
     spectrum_queries,
+    structure_queries,
+    text_queries,
 )
 from peakloom.plans.registry import ORACLES, QUERIES
 
