@@ -167,12 +167,12 @@ def hydrogen_groups(spark, sf_dir):
 @query(
     "proton_status",
     f"""SELECT mol_id, atom_id, g_no, round(e, 6) AS error, {ERROR_SQL.format(0.15, 0.3)} AS status FROM (
-        SELECT *, abs(predicted - observed) AS e FROM (SELECT *, round(predicted + ((mol_id + atom_id) % 9 - 4) / 10.0::DOUBLE, 2)
+        SELECT *, abs(predicted - observed) AS e FROM (SELECT *, round(predicted + ((mol_id + atom_id) % 9 - 4) / 10.0::DOUBLE + 1e-9, 2)
           AS observed FROM ({GROUP_SQL})))""",
 )
 def proton_status(spark, sf_dir):
     wobble = ((F.col("mol_id") + F.col("atom_id")) % 9 - 4) / F.lit(10.0)
-    groups = hydrogens(spark, sf_dir).withColumn("observed", F.round(F.col("predicted") + wobble, 2))
+    groups = hydrogens(spark, sf_dir).withColumn("observed", scoring.half_up(F.col("predicted") + wobble, 2))
     judged = structure.proton_status(groups, CONFIG)
     return judged.select("mol_id", "atom_id", "g_no", F.round("error", 6).alias("error"), "status")
 
@@ -201,7 +201,7 @@ def split_and_merge_groups(spark, sf_dir):
 
 @query(
     "carbon_report",
-    f"""SELECT mol_id, array_to_string(list(printf('%.1f', round(observed + 1e-9, 1)) || ' (C-' || CAST(atom_id + 1 AS VARCHAR) || ', '
+    f"""SELECT mol_id, array_to_string(list(printf('%.1f', round(observed + 1e-9, 1) + 0.0) || ' (C-' || CAST(atom_id + 1 AS VARCHAR) || ', '
           || CASE h_count WHEN 0 THEN 's' WHEN 1 THEN 'd' WHEN 2 THEN 't' ELSE 'q' END || ')' ORDER BY observed, atom_id), ', ') AS carbon_text
         FROM ({PAIRED_SQL}) WHERE observed IS NOT NULL GROUP BY 1""",
 )

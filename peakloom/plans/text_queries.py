@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from peakloom.functions import text
 from peakloom.plans import fixtures as fx
 from peakloom.plans.registry import query
-from peakloom.session import table
+from peakloom.session import cut_lineage, table
 from peakloom.sinks import export
 from peakloom.sources import peaks as peak_files
 from peakloom.sources import sdf
@@ -187,7 +187,7 @@ def structure_records(spark, sf_dir) -> DataFrame:
 )
 def structure_round_trip(spark, sf_dir):
     """Structure records written from the tables and parsed back to carbons."""
-    parsed = sdf.parse_molecules(structure_records(spark, sf_dir))
+    parsed = sdf.parse_molecules(cut_lineage(structure_records(spark, sf_dir)))
     return sdf.carbon_rows(parsed).select(
         "name",
         "c_index",
@@ -235,7 +235,9 @@ def assigned_structure_file(spark, sf_dir):
     joined = records.join(names, "name").join(values, "mol_id", "left")
     empty = F.create_map().cast("map<string,double>")
     joined = joined.withColumn("carbon_values", F.coalesce("carbon_values", empty)).withColumn("proton_values", empty)
-    parsed = sdf.parse_molecules(export.assigned_records(joined.select("source_file", "record", "carbon_values", "proton_values")))
+    written = export.assigned_records(joined.select("source_file", "record", "carbon_values", "proton_values"))
+    # The written file is the boundary between the two plans.
+    parsed = sdf.parse_molecules(cut_lineage(written.select("source_file", "record")))
     return sdf.carbon_rows(parsed).select("name", "c_index", "c_shift")
 
 

@@ -79,35 +79,44 @@ def journal_text(molecules: DataFrame, carbons: DataFrame, protons: DataFrame, c
     return joined.select("mol_id", F.concat(head, body).alias("report"))
 
 
-def replace_shifts(record: Column, values: Column, loose: bool = True) -> Column:
-    """Write new shifts (map<1-based atom as string, shift>) into the shift lines of a record.
+# Shift lines look like ``12[5]  77.10``, or ``5  77.10`` in the typed fields.
+BRACKET_LINE = r"^(.*\[(\d+)\]\s+)[-+]?\d+(?:\.\d+)?(.*)$"
+TYPED_LINE = r"^(\s*(\d+)\s+)[-+]?\d+(?:\.\d+)?(.*)$"
 
-    Lines look like ``12[5]  77.10``, or ``5  77.10`` in the typed fields (``loose=False``).
-    """
-    pattern = r"(.*\[(\d+)\]\s+)([-+]?\d+(?:\.\d+)?)(.*)" if loose else r"(\s*(\d+)\s+)([-+]?\d+(?:\.\d+)?)(.*)"
-
-    def rewrite(line: Column) -> Column:
-        atom = F.regexp_extract(line, f"^{pattern}$", 2)
-        new = F.try_element_at(values, atom)
-        text = F.concat(F.regexp_extract(line, f"^{pattern}$", 1), _decimals(new, 2), F.regexp_extract(line, f"^{pattern}$", 4))
-        return F.when(new.isNull() | (atom == ""), line).otherwise(text)
 
-    return F.array_join(F.transform(F.split(record, "\n"), rewrite), "\n")
+TYPED_FIELDS = ("Quaternaries", "Tertiaries", "Secondaries", "Primaries")
 
 
-def replace_field(record: Column, tag: str, values: Column, loose: bool = True) -> Column:
-    """Rewrite the shifts of one data field, leaving the rest of the record alone."""
-    old = sdf.tag_value(record, tag)
-    return F.when(old.isNull() | (old == ""), record).otherwise(F.replace(record, old, replace_shifts(old, values, loose)))
+def _rewrite(line: Column, values: Column, pattern: str) -> Column:
+    """The line with the new shift of its atom; ``values`` is map<1-based atom as string, shift>."""
+    new = F.try_element_at(values, F.regexp_extract(line, pattern, 2))
+    changed = F.concat(F.regexp_extract(line, pattern, 1), _decimals(new, 2), F.regexp_extract(line, pattern, 3))
+    return F.when(new.isNull(), line).otherwise(changed)
 
 
 def assigned_records(records: DataFrame) -> DataFrame:
-    """Records with the assigned shifts (carbon_values, proton_values) in all their fields."""
-    out = F.col("record")
-    out = replace_field(out, sdf.CARBON_TAG, F.col("carbon_values"))
-    for tag in ("Quaternaries", "Tertiaries", "Secondaries", "Primaries"):
-        out = replace_field(out, tag, F.col("carbon_values"), loose=False)
-    return records.withColumn("record", replace_field(out, sdf.PROTON_TAG, F.col("proton_values")))
+    """Records with the assigned shifts (carbon_values, proton_values) in all their fields.
+
+    One pass over the lines of a record, remembering the field a line belongs to.
+    """
+    carbon, proton = F.col("carbon_values"), F.col("proton_values")
+    kind = "struct<tag:string,lines:array<string>>"
+
+    def step(state: Column, line: Column) -> Column:
+        header = line.startswith(">")
+        tag = F.when(header, F.regexp_extract(line, "<([^>]*)>", 1)).otherwise(state["tag"])
+        body = (
+            F.when(header, line)
+            .when(state["tag"] == sdf.CARBON_TAG, _rewrite(line, carbon, BRACKET_LINE))
+            .when(state["tag"] == sdf.PROTON_TAG, _rewrite(line, proton, BRACKET_LINE))
+            .when(state["tag"].isin(*TYPED_FIELDS), _rewrite(line, carbon, TYPED_LINE))
+            .otherwise(line)
+        )
+        return F.struct(tag.alias("tag"), F.array_append(state["lines"], body).alias("lines")).cast(kind)
+
+    start = F.struct(F.lit("").alias("tag"), F.array().cast("array<string>").alias("lines")).cast(kind)
+    done = F.aggregate(F.split("record", "\n"), start, step, lambda state: F.array_join(state["lines"], "\n"))
+    return records.withColumn("record", done)
 
 
 def set_field(record: Column, tag: str, value: Column) -> Column:

@@ -51,19 +51,19 @@ def tag_value(record: Column, tag: str) -> Column:
     return F.when(F.contains(record, F.lit(f"<{tag}>")), value)
 
 
-def shift_map(record: Column, tag: str, pattern: str = STRICT_SHIFT) -> Column:
-    """map<0-based atom index, shift>; the last line of an atom wins, other lines are ignored."""
-    text = F.coalesce(tag_value(record, tag), F.lit(""))
-    atoms = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda a: a.cast("int") - 1)
-    values = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda v: v.cast("double"))
-    entries = F.arrays_zip(atoms.alias("atom"), values.alias("shift"))
-    last = F.filter(
-        entries,
-        lambda e, i: ~F.exists(
-            F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda o: o["atom"] == e["atom"]
-        ),
-    )
-    return F.map_from_arrays(last["atom"], last["shift"])
+def with_shifts(records: DataFrame, tag: str, column: str, pattern: str = STRICT_SHIFT) -> DataFrame:
+    """Add map<0-based atom index, shift>; the last line of an atom wins, other lines are ignored.
+
+    The lines are staged in columns of their own, so no text is searched twice.
+    """
+    staged = records.withColumn("_text", F.coalesce(tag_value(F.col("record"), tag), F.lit("")))
+    staged = staged.withColumn("_atoms", F.regexp_extract_all("_text", F.lit(pattern), F.lit(1)).cast("array<int>"))
+    staged = staged.withColumn("_shifts", F.regexp_extract_all("_text", F.lit(pattern), F.lit(2)).cast("array<double>"))
+    back = F.reverse(F.arrays_zip("_atoms", "_shifts"))
+    staged = staged.withColumn("_lines", back).withColumn("_atoms", F.reverse("_atoms"))
+    last = F.filter("_lines", lambda x, i: F.array_position(F.col("_atoms"), x["_atoms"]) == i + 1)
+    pairs = F.transform(last, lambda x: F.struct((x["_atoms"] - 1).alias("atom"), x["_shifts"].alias("shift")))
+    return staged.withColumn(column, F.map_from_entries(pairs)).drop("_text", "_atoms", "_shifts", "_lines")
 
 
 def _field(line: Column, start: int, width: int) -> Column:
@@ -77,8 +77,10 @@ def parse_molecules(records: DataFrame) -> DataFrame:
     that cannot be read keep their row with the reason in ``problem``.
     """
     lines = F.split("record", "\n")
-    counts = F.get(lines, F.lit(3))
-    staged = records.withColumn("lines", lines).select(
+    staged = with_shifts(records, CARBON_TAG, "carbon_shifts")
+    staged = with_shifts(staged, PROTON_TAG, "proton_shifts").withColumn("lines", lines)
+    counts = F.get("lines", F.lit(3))
+    staged = staged.select(
         "*", _field(counts, 1, 3).try_cast("int").alias("n_atoms"), _field(counts, 4, 3).try_cast("int").alias("n_bonds")
     )
     readable = F.col("n_atoms").isNotNull() & F.col("n_bonds").isNotNull() & (F.size("lines") >= 4 + F.col("n_atoms") + F.col("n_bonds"))
@@ -100,8 +102,8 @@ def parse_molecules(records: DataFrame) -> DataFrame:
         fw.alias("fw"),
         atoms.alias("atoms"),
         bonds.alias("bonds"),
-        shift_map(F.col("record"), CARBON_TAG).alias("carbon_shifts"),
-        shift_map(F.col("record"), PROTON_TAG).alias("proton_shifts"),
+        "carbon_shifts",
+        "proton_shifts",
         F.when(~readable, F.lit("unreadable atom or bond block"))
         .when(fw.isNull(), F.lit("no FW field"))
         .alias("problem"),
