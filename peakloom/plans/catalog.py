@@ -2,6 +2,7 @@
 
 from peakloom.plans import (  # noqa: F401
     cluster_queries,
+    hsqc_queries,
     library_queries,
     series_queries,
     spectrum_queries,
