@@ -17,10 +17,8 @@ HEADLINE = [
     "assign_13c_untyped",
     "top20_13c",
     "top20_hsqc",
-    "combined_top20",
     "densest_window",
     "candidate_tracks",
-    "set_packing",
     "calibration_apply",
     "silhouette",
     "parse_assignment_lines",
