@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from peakloom.config import AssignConfig, CarbonSearch, FineRange, ScoreWindow
+from peakloom.config import AssignConfig, CarbonSearch, FineRange
 
 # A carbon without a query peak is scored as if it were this far away (ppm).
 MISSING_DELTA = 1000.0
@@ -136,7 +136,3 @@ def type_name(h_count: Column) -> Column:
 def stick_height(h_count: Column) -> Column:
     """Stick height used when a carbon list is drawn (1 per attached hydrogen, 1 for none)."""
     return F.greatest(h_count, F.lit(1)).cast("double")
-
-
-def default_window() -> ScoreWindow:
-    return ScoreWindow()

@@ -163,7 +163,6 @@ def simple_tracks(spark, sf_dir) -> DataFrame:
     )
 
 
-# Full mode and a tolerance of one cell: a piece goes when every track has a neighbour of a kept larger mask.
 @query("mask_residual")
 def mask_residual(spark, sf_dir):
     return residual.mask_residual(
