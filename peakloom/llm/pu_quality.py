@@ -28,7 +28,7 @@ LIMIT = 0.7
 class PuConfig:
     positives: int = 5_000
     unlabelled: int = 10_000
-    steps: int = 400
+    steps: int = 250
     rate: float = 0.05
     decay: float = 1e-4
 
@@ -97,24 +97,26 @@ def features(text: str | None) -> np.ndarray:
 
 @dataclass
 class Model:
+    places: np.ndarray
     edges: np.ndarray
     weights: np.ndarray
     bias: float
     prior: float
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(binned(x, self.edges) @ self.weights + self.bias, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(binned(x, self.places, self.edges) @ self.weights + self.bias, -30, 30)))
 
 
-def binned(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """For every feature and edge whether the value exceeds it."""
-    return (x[:, :, None] > edges[None, :, :]).reshape(len(x), -1).astype(np.float32)
+def binned(x: np.ndarray, places: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """For every bin edge whether the feature at its place exceeds it."""
+    return (x[:, places] > edges).astype(np.float32)
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, config: PuConfig = PuConfig()) -> Model:
     """Full-batch Adam on the non-negative risk with the logistic loss."""
-    edges = np.quantile(unlabelled, SHARES, axis=0).T.astype(np.float32)
-    p, u = binned(positive, edges), binned(unlabelled, edges)
+    found = [np.unique(e) for e in np.quantile(unlabelled, SHARES, axis=0).T.astype(np.float32)]
+    places, edges = np.repeat(np.arange(len(found)), [len(e) for e in found]), np.concatenate(found)
+    p, u = binned(positive, places, edges), binned(unlabelled, places, edges)
     w = np.zeros(p.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     with_one = lambda grad_rows, x: np.append(grad_rows @ x, grad_rows.sum()) / len(x)
@@ -132,7 +134,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, config: PuCo
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         w -= config.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(edges, w[:-1].astype(np.float32), float(w[-1]), prior)
+    return Model(places, edges, w[:-1].astype(np.float32), float(w[-1]), prior)
 
 
 def held_out():
