@@ -28,8 +28,8 @@ LIMIT = 0.7
 class PuConfig:
     positives: int = 5_000
     unlabelled: int = 10_000
-    steps: int = 250
-    rate: float = 0.05
+    steps: int = 400
+    rate: float = 0.01
     decay: float = 1e-4
 
 
@@ -113,12 +113,15 @@ def binned(x: np.ndarray, places: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, config: PuConfig = PuConfig()) -> Model:
-    """Full-batch Adam on the non-negative risk with the logistic loss."""
+    """Full-batch Adam on the non-negative risk with the logistic loss; the rate falls to zero and late steps are averaged.
+
+    Many bins of a feature move together, so larger rates overshoot.
+    """
     found = [np.unique(e) for e in np.quantile(unlabelled, SHARES, axis=0).T.astype(np.float32)]
     places, edges = np.repeat(np.arange(len(found)), [len(e) for e in found]), np.concatenate(found)
     p, u = binned(positive, places, edges), binned(unlabelled, places, edges)
     w = np.zeros(p.shape[1] + 1)
-    m, v = np.zeros_like(w), np.zeros_like(w)
+    m, v, mean = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
     with_one = lambda grad_rows, x: np.append(grad_rows @ x, grad_rows.sum()) / len(x)
     for step in range(1, config.steps + 1):
         gp, gu = p @ w[:-1].astype(np.float32) + w[-1], u @ w[:-1].astype(np.float32) + w[-1]
@@ -133,8 +136,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, config: PuCo
         grad[:-1] += config.decay * w[:-1]
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
-        w -= config.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(places, edges, w[:-1].astype(np.float32), float(w[-1]), prior)
+        w -= config.rate * (1 - (step - 1) / config.steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        if step > config.steps // 2:
+            mean += w / (config.steps - config.steps // 2)
+    return Model(places, edges, mean[:-1].astype(np.float32), float(mean[-1]), prior)
 
 
 def held_out():
