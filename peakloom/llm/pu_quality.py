@@ -28,8 +28,8 @@ LIMIT = 0.7
 class PuConfig:
     positives: int = 5_000
     unlabelled: int = 10_000
-    steps: int = 400
-    rate: float = 0.01
+    steps: int = 1_000
+    rate: float = 0.005
     decay: float = 1e-4
 
 
@@ -56,7 +56,7 @@ def _classes() -> np.ndarray:
 
 CLASSES = _classes()
 N_CLASSES = _REST + 1 + len(_OWN)
-N_FEATURES = 3 * N_CLASSES + 11
+N_FEATURES = 3 * N_CLASSES + 12
 
 
 def features(text: str | None) -> np.ndarray:
@@ -79,7 +79,7 @@ def features(text: str | None) -> np.ndarray:
         out[2 * N_CLASSES : at] = np.bincount(kind[ends], minlength=N_CLASSES) / n
         size = ends - starts + 1
         words = data.lower().split()
-        out[at : at + 11] = (
+        out[at : at + 12] = (
             size.mean(),
             size.std(),
             (size <= 3).mean(),
@@ -91,6 +91,7 @@ def features(text: str | None) -> np.ndarray:
             ((size == 1) & (kind[starts] > _REST)).mean(),
             np.log1p(size.max()),
             len(set(zip(words, words[1:], strict=False))) / n,
+            sum(map(bytes.__eq__, words, words[1:])) / n,
         )
     return out
 
@@ -113,32 +114,34 @@ def binned(x: np.ndarray, places: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, config: PuConfig = PuConfig()) -> Model:
-    """Full-batch Adam on the non-negative risk with the logistic loss; the rate falls to zero and late steps are averaged.
+    """Full-batch Adam on the non-negative risk with the sigmoid loss; late steps are averaged.
 
-    Many bins of a feature move together, so larger rates overshoot.
+    Many bins of a feature move together, so the rate is small and falls to zero.
     """
     found = [np.unique(e) for e in np.quantile(unlabelled, SHARES, axis=0).T.astype(np.float32)]
     places, edges = np.repeat(np.arange(len(found)), [len(e) for e in found]), np.concatenate(found)
     p, u = binned(positive, places, edges), binned(unlabelled, places, edges)
     w = np.zeros(p.shape[1] + 1)
     m, v, mean = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
-    with_one = lambda grad_rows, x: np.append(grad_rows @ x, grad_rows.sum()) / len(x)
+    late = config.steps - config.steps // 2
+
+    def slope(x: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean of the sigmoid of the margins, and its gradient."""
+        s = 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(np.float32) + w[-1], -60, 60)))
+        each = s * (1 - s)
+        return s.mean(), np.append(each.astype(np.float32) @ x, each.sum()) / len(x)
+
     for step in range(1, config.steps + 1):
-        gp, gu = p @ w[:-1].astype(np.float32) + w[-1], u @ w[:-1].astype(np.float32) + w[-1]
-        sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-        # Logistic loss: log(1 + e^-g) for the positive class, log(1 + e^g) for the negative.
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        down = with_one(su, u) - prior * with_one(sp, p)
-        if negative >= 0:
-            grad = prior * with_one(sp - 1, p) + down
-        else:
-            grad = -down
+        # The sigmoid loss of a row taken as negative is s, taken as positive 1 - s.
+        (of_p, up), (of_u, all_up) = slope(p), slope(u)
+        down = all_up - prior * up
+        grad = down - prior * up if of_u - prior * of_p >= 0 else -down
         grad[:-1] += config.decay * w[:-1]
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         w -= config.rate * (1 - (step - 1) / config.steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        if step > config.steps // 2:
-            mean += w / (config.steps - config.steps // 2)
+        if step > config.steps - late:
+            mean += w / late
     return Model(places, edges, mean[:-1].astype(np.float32), float(mean[-1]), prior)
 
 
