@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import settle, shuffle_partitions, tokens_of, with_row
+from peakloom.llm.common import GAP, ascii_lower, broadcast_checked, settle, shuffle_partitions, tokens_of, with_row
 from peakloom.operators.components import connected_components
 
 SEED = 42
@@ -172,6 +172,8 @@ LANES = 10
 BANDS = 160
 BAND_BITS = 32
 CHECK_BITS = 21
+# Row numbers are broadcast up to this many (8 bytes each); beyond it the join is shuffled.
+MAX_BROADCAST_ROWS = 200_000
 
 
 def _band_places(lanes: int, bands: int) -> np.ndarray:
@@ -254,21 +256,23 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes
     bands, so a pair close to the limit can be missed (see the README for the recall).
     """
     rows = with_row(docs)
-    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    same = F.md5(F.translate(words, upper, upper.lower()))
-    heads = settle(
-        rows.select("_row", "doc_id", same.alias("same")).groupBy("same").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("h"))
-    ).select(F.col("h._row").alias("_row"), F.col("h.doc_id").alias("_id"))
-    texts = settle(rows.select("_row", "text").join(heads.select("_row"), "_row", "left_semi"))
-    prints = fingerprints(texts.select("_row", "text"), shingle, lanes)
-    placed = _homes(prints, lanes, bands).repartition(shuffle_partitions(docs), "key").sortWithinPartitions("key", "member")
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), GAP, " "))
+    same = F.md5(ascii_lower(words))
+    prints = settle(fingerprints(rows.select("_row", "doc_id", same.alias("same"), "text"), shingle, lanes))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("h")
+    heads = settle(prints.groupBy("same").agg(head)).select(F.col("h._row").alias("_row"), F.col("h.doc_id").alias("_id"))
+    placed = _homes(prints.join(heads, "_row", "left_semi"), lanes, bands)
+    placed = placed.repartition(shuffle_partitions(docs), "key").sortWithinPartitions("key", "member")
     links = settle(placed.mapInArrow(_leaders, "src bigint, dst bigint").distinct())
+    # Only texts with a candidate are moved.
+    linked = broadcast_checked(links.select(F.explode(F.array("src", "dst")).alias("_row")).distinct(), MAX_BROADCAST_ROWS)
+    texts = settle(rows.select("_row", "text").join(linked, "_row", "left_semi"))
     a = texts.select(F.col("_row").alias("src"), F.col("text").alias("src_text"))
     b = texts.select(F.col("_row").alias("dst"), F.col("text").alias("dst_text"))
     true = settle(similar_enough(links.join(a, "src").join(b, "dst"), shingle, similarity))
     roots = connected_components(true).withColumnRenamed("node", "_row")
     grouped = heads.join(roots, "_row").groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_row")).alias("h"))
-    gone = roots.join(grouped.select(F.col("h._row").alias("_row")), "_row", "left_anti").select("_row")
-    stay = settle(heads.select("_row").join(gone, "_row", "left_anti"))
-    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
+    near = roots.join(grouped.select(F.col("h._row").alias("_row")), "_row", "left_anti").select("_row")
+    copies = prints.select("_row").join(heads.select("_row"), "_row", "left_anti")
+    gone = broadcast_checked(settle(copies.unionByName(near)), MAX_BROADCAST_ROWS)
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
