@@ -34,14 +34,20 @@ LOOSE_SHIFT = r"(?m)\[(\d+)\]\s+([-+]?\d+(?:\.\d+)?)"
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Columns: source_file, record. Only .sdf and .sd files of the folder are read."""
+    """Columns: source_file, record. Only .sdf and .sd files of the folder are read, in any case of letters.
+
+    What follows a separator starts with the rest of its line, which goes.  The first record of a
+    file has none: there a blank first line is the title, and the counts line is the fourth.
+    """
     raw = (
         spark.read.option("lineSep", SEPARATOR)
-        .option("pathGlobFilter", "*.{sdf,sd,SDF,SD}")
+        .option("pathGlobFilter", "*.{[sS][dD][fF],[sS][dD]}")
         .text(path)
         .withColumn("source_file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
     )
-    body = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), r"^[ \t]*\n", "")
+    lines = F.regexp_replace("value", "\r\n?", "\n")
+    whole = F.get(F.split(lines, "\n"), F.lit(3)).rlike("V[23]000")
+    body = F.when(F.coalesce(whole, F.lit(False)), lines).otherwise(F.regexp_replace(lines, r"^[ \t]*\n", ""))
     return raw.select("source_file", body.alias("record")).filter(F.trim(F.regexp_replace("record", "\n", "")) != "")
 
 
@@ -57,7 +63,7 @@ def with_shifts(records: DataFrame, tag: str, column: str, pattern: str = STRICT
     The lines are staged in columns of their own, so no text is searched twice.
     """
     staged = records.withColumn("_text", F.coalesce(tag_value(F.col("record"), tag), F.lit("")))
-    staged = staged.withColumn("_atoms", F.regexp_extract_all("_text", F.lit(pattern), F.lit(1)).cast("array<int>"))
+    staged = staged.withColumn("_atoms", F.regexp_extract_all("_text", F.lit(pattern), F.lit(1)).try_cast("array<int>"))
     staged = staged.withColumn("_shifts", F.regexp_extract_all("_text", F.lit(pattern), F.lit(2)).cast("array<double>"))
     back = F.reverse(F.arrays_zip("_atoms", "_shifts"))
     staged = staged.withColumn("_lines", back).withColumn("_atoms", F.reverse("_atoms"))
