@@ -25,7 +25,10 @@ from peakloom.llm.common import chunks
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
 # Words kept between slices of one task.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
+# Rows, and bytes of text, that are worked on at once.
+SLICE_ROWS = 256
+SLICE_BYTES = 1 << 20
 _CHARS = 0x110000
 
 
@@ -143,19 +146,19 @@ class PieceCodec:
     def words(self, text: str) -> list[str]:
         return self.units.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def encode(self, texts: list[str], known: dict[str, np.ndarray] | None = None) -> list[np.ndarray]:
-        """Ids of each text with begin and end; ``known`` keeps words between calls."""
+    def encode(self, texts: list[str], known: dict[str, bytes] | None = None) -> list[bytes]:
+        """Packed ids of each text with begin and end; ``known`` keeps words between calls."""
         known = {} if known is None else known
+        if len(known) > CACHE_WORDS:
+            known.clear()
         split = [self.words(t) for t in texts]
         new = list({w for words in split for w in words if w not in known})
         if new:
             ids, count = self.encode_words(new)
-            known.update(zip(new, np.split(ids.astype("<u4"), np.cumsum(count)[:-1]), strict=True))
-        begin, end = np.array([self.bos], "<u4"), np.array([self.eos], "<u4")
-        out = [np.concatenate([begin, *(known[w] for w in words), end]) for words in split]
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        return out
+            packed, stops = ids.astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
+            known.update(zip(new, (packed[i:j] for i, j in zip([0, *stops], stops)), strict=True))
+        begin, end = (np.array([i], "<u4").tobytes() for i in (self.bos, self.eos))
+        return [b"".join((begin, *map(known.__getitem__, words), end)) for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; the space before the first piece, which encoding adds, goes."""
@@ -180,13 +183,15 @@ def encode(df: DataFrame, model: str, text: str = "text") -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, bytes] = {}
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            for a, b in chunks(texts):
-                ids = [x.tobytes() for x in codec(model).encode([t or "" for t in texts[a:b]], known)]
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(ids, pa.binary())], [*rest, "ids"])
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(at, SLICE_ROWS)
+                texts = rows.column(text).to_pylist()
+                for a, b in chunks(texts, SLICE_BYTES):
+                    ids = codec(model).encode([t or "" for t in texts[a:b]], known)
+                    part = rows.slice(a, b - a)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(ids, pa.binary())], [*rest, "ids"])
 
     return df.select(*rest, text).mapInArrow(run, f"{fields}, ids binary")
 
@@ -197,8 +202,9 @@ def decode(df: DataFrame, model: str, ids: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = batch.column(ids)
-            texts = [codec(model).decode(np.frombuffer(x.as_py() or b"", "<u4").astype(np.int64)) for x in packed]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(at, SLICE_ROWS)
+                texts = [codec(model).decode(np.frombuffer(x.as_py() or b"", "<u4").astype(np.int64)) for x in rows.column(ids)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], [*rows.schema.names, "decoded"])
 
     return df.mapInArrow(run, f"{fields}, decoded string")
