@@ -83,6 +83,10 @@ def _choose_edges(rows: pd.Series, cols: pd.Series, gains: pd.Series) -> pd.Seri
     )
 
 
+# Marked so that no filter on the chosen edges is pushed below the projection, which would run the matcher twice.
+_choose_edges = _choose_edges.asNondeterministic()
+
+
 def max_group_size(df: DataFrame, keys: Sequence[str]) -> int:
     """Largest group of a (small) table."""
     top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
@@ -97,20 +101,15 @@ def solve_matching(
     gain: str,
     limit: int,
     carry: Sequence[str] = (),
-    rows_per_group: str | None = None,
 ) -> DataFrame:
     """Best one-to-one matching inside every ``keys`` group.
 
     ``edges`` holds one row per candidate pair; ``limit`` is a proven bound of the
-    number of distinct ``col`` values per group.  Groups that are known (through the
-    count in ``rows_per_group``) to have at most ``limit`` rows need no pruning.
+    number of distinct ``col`` values per group.
     """
     best = Window.partitionBy(*keys, col).orderBy(F.desc(gain), row)
     kept = [*keys, row, col, gain, *carry]
-    large = edges if rows_per_group is None else edges.filter(F.col(rows_per_group) > limit)
-    pruned = large.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= limit).select(*kept)
-    if rows_per_group is not None:
-        pruned = edges.filter(F.col(rows_per_group) <= limit).select(*kept).unionByName(pruned)
+    pruned = edges.select(*kept).withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= limit).drop("_rank")
     grouped = pruned.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(row, col, gain, *carry))).alias("_edges")
     )
@@ -284,13 +283,13 @@ def match_hsqc(points: DataFrame, peaks: DataFrame, search: HsqcSearch) -> DataF
     carry = ["c", "h", "shift", "h_shift", "distance"]
     if not search.merge_equivalent:
         pairs = hsqc_candidates(points, peaks, search)
-        return solve_matching(pairs, keys, "point_id", "peak_id", "gain", limit, carry, "n_points")
+        return solve_matching(pairs, keys, "point_id", "peak_id", "gain", limit, carry)
     # Points with identical coordinates form one row and share its peak.
     build = points.withColumn("h_class", hsqc_class(F.col("h_count"), search.mode))
     heads = build.groupBy("mol_id", "h_class", "c", "h").agg(
         F.min("point_id").alias("point_id"), F.first("h_count").alias("h_count")
     )
     solved = solve_matching(
-        hsqc_candidates(heads, peaks, search), keys, "point_id", "peak_id", "gain", limit, carry, "n_points"
+        hsqc_candidates(heads, peaks, search), keys, "point_id", "peak_id", "gain", limit, carry
     ).drop("point_id")
     return build.select("mol_id", "h_class", "c", "h", "point_id").join(solved, ["mol_id", "h_class", "c", "h"])

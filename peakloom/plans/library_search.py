@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from peakloom.config import CarbonSearch, HsqcSearch, LibraryFilter, check_weights
 from peakloom.functions import scoring
 from peakloom.operators import assignment, environment
-from peakloom.session import broadcast_if_small
+from peakloom.session import broadcast_if_small, cut_lineage
 
 
 def query_sizes(peaks: DataFrame, limits: LibraryFilter) -> DataFrame:
@@ -73,7 +73,8 @@ def carbon_ranking(
 ) -> DataFrame:
     """13C molecule scores for every eligible (query, molecule) pair."""
     matches = match_library(carbons, molecules, peaks, search, limits)
-    scored = environment.self_scores(matches, search).filter("self_score > 0")
+    # Two joins read the scored atoms; the matching is worked out once for both.
+    scored = cut_lineage(environment.self_scores(matches, search).filter("self_score > 0"))
     scored = environment.environment_scores(scored, edges, search.env_level)
     return environment.molecule_scores(eligible_molecules(molecules, peaks, limits), scored, search)
 

@@ -48,7 +48,7 @@ def error_status(spark, sf_dir):
 
 
 def _status_sql(paired_sql: str, observed_sql: str) -> str:
-    return f"""WITH p AS ({paired_sql}), ob AS ({observed_sql}),
+    return f"""WITH p AS MATERIALIZED ({paired_sql}), ob AS ({observed_sql}),
       near AS (SELECT p.mol_id, p.atom_id, abs(ob.shift - p.predicted) AS d, row_number() OVER (PARTITION BY p.mol_id, p.atom_id
         ORDER BY abs(ob.shift - p.predicted)) AS r FROM p JOIN ob ON ob.mol_id = p.mol_id AND abs(ob.shift - p.predicted) <= 1.5),
       two AS (SELECT mol_id, atom_id, sum(d) / 2 AS m FROM near WHERE r <= 2 GROUP BY 1, 2 HAVING count(*) = 2),
@@ -72,16 +72,16 @@ def carbon_status(spark, sf_dir):
     return rows.select("mol_id", "atom_id", "observed", "status")
 
 
-EDITED_SQL = f"""SELECT p.mol_id, p.atom_id, p.h_count, p.predicted, CASE WHEN p.atom_id % 5 = 0 THEN p.predicted + 1
+EDITED_SQL = f"""WITH pair AS MATERIALIZED ({PAIRED_SQL})
+    SELECT p.mol_id, p.atom_id, p.h_count, p.predicted, CASE WHEN p.atom_id % 5 = 0 THEN p.predicted + 1
       WHEN p.atom_id = 1 AND q.mol_id IS NOT NULL THEN q.observed WHEN p.atom_id = 2 AND q.mol_id IS NOT NULL THEN q.observed
       ELSE p.observed END AS observed
-    FROM ({PAIRED_SQL}) p LEFT JOIN ({PAIRED_SQL}) q ON q.mol_id = p.mol_id
-      AND ((p.atom_id = 1 AND q.atom_id = 2) OR (p.atom_id = 2 AND q.atom_id = 1))"""
+    FROM pair p LEFT JOIN pair q ON q.mol_id = p.mol_id AND q.atom_id = CASE p.atom_id WHEN 1 THEN 2 WHEN 2 THEN 1 END"""
 
 
 @query(
     "manual_edits",
-    _status_sql(EDITED_SQL, f"SELECT mol_id, observed AS shift FROM ({EDITED_SQL}) WHERE observed IS NOT NULL"),
+    _status_sql(EDITED_SQL, "SELECT mol_id, observed AS shift FROM p WHERE observed IS NOT NULL"),
 )
 def manual_edits(spark, sf_dir):
     """Edited and swapped shifts; the statuses then look at assigned shifts only."""
