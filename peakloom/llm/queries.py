@@ -85,9 +85,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     warc.write_archives(load(spark, sf_dir, "pages"), path)
-    merged = warc.merge_runs(warc.capture_runs(spark, path))
+    merged = warc.capture_places(warc.merge_runs(warc.capture_runs(spark, path)))
     return merged.select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "warc_date", "merge_part", "merge_seq"
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "warc_date", "capture_place"
     )
 
 

@@ -23,15 +23,17 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import shuffle_partitions
+from peakloom.llm.common import settle, shuffle_partitions
 
 BREAK = "\r\n"
 END = BREAK * 2
 FIRST_DAY = "2024-01-01 00:00:00"
 _NONE = "none"
+# Key ranges of the merged index, and so rows of its table of range sizes.
+MAX_RANGES = 4_096
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -229,7 +231,7 @@ def natural_runs(rows: Iterator[tuple], key=_order) -> list[list[tuple]]:
 
 def merge_runs(captures: DataFrame) -> DataFrame:
     """The captures in global order: by range (merge_part), then by place in it (merge_seq)."""
-    ranges = max(1, min(shuffle_partitions(captures), 4_096))
+    ranges = max(1, min(shuffle_partitions(captures), MAX_RANGES))
     dealt = captures.repartitionByRange(ranges, "url_key", "warc_date", F.col("page_id").asc_nulls_last())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +250,18 @@ def merge_runs(captures: DataFrame) -> DataFrame:
     return merged.withColumn("merge_part", F.spark_partition_id())
 
 
+def capture_places(merged: DataFrame) -> DataFrame:
+    """Adds ``capture_place``: the place in the whole history, counted from 0.
+
+    The sizes of the ranges give the offsets; they are at most ``MAX_RANGES`` rows of two numbers.
+    """
+    rows = settle(merged)
+    sizes = rows.groupBy("merge_part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("merge_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(sizes.select("merge_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")))
+    return rows.join(offsets, "merge_part").withColumn("capture_place", F.col("_before") + F.col("merge_seq")).drop("_before")
+
+
 def _numbered(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [*_KINDS, pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*_NAMES, "merge_seq"])
