@@ -119,9 +119,8 @@ def _found(kind: int, pattern: str, keep: str, length: str = "length(m)") -> str
     """Spans of one kind: a match starts after the gaps up to it and the matches before it."""
     return f"""
   SELECT rid, {kind} AS kind, start, start + {length} AS stop FROM (
-    SELECT rid, ms[i] AS m,
-           list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start
-    FROM (SELECT rid, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM (
+    SELECT rid, m, (sum(length(gap) + length(m)) OVER (PARTITION BY rid ORDER BY i) - length(m))::BIGINT AS start
+    FROM (SELECT rid, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, unnest(range(len(ms))) AS i FROM (
       SELECT rid, regexp_extract_all(text, {_quoted(pattern)}) AS ms, string_split_regex(text, {_quoted(pattern)}) AS gaps FROM docs)))
   WHERE {keep}"""
 

@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from peakloom.llm import block_ann, packing, pu_quality, risk_rules, secret_scan, sentencepiece_codec, simhash, suffix_tree, url_filter, warc
-from peakloom.llm.queries import QUERIES, shared_folder
+from peakloom.llm.queries import ORACLES, QUERIES, shared_folder
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _row int, word string"
@@ -53,6 +54,36 @@ def test_queries_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def rows_equal(got, want, columns, names):
+    cell = lambda v: float(f"{v:.12g}") if isinstance(v, float) else v
+    plain = lambda rows, heads: Counter(tuple(cell(r[heads.index(c)]) for c in sorted(heads)) for r in rows)
+    assert sorted(columns) == sorted(names)
+    assert plain(got, columns) == plain(want, names)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("source", ["sf", "odd"])
+def test_oracles(spark, odd, tmp_path, name, source):
+    tables = ("documents", "embeddings", "pages", "labels")
+    folder = SF
+    if source == "odd":
+        folder = str(tmp_path)
+        odd.drop("_row", "word").write.parquet(f"{folder}/documents.parquet")
+        urls = ["http://A.Example.org/es/1?x=1#f", "https://org/x", "://x/", "http://com/fr/2", "", None, "http://a.com/de/3", "http://a.com/de/3", "x\r\ny"]
+        pages = [(None if i == 3 else i, u, "same" if i % 2 else None if i else "é") for i, u in enumerate(urls)]
+        spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+        vectors = [(i, [float(i % 7), 1.0 - i, 0.5]) for i in range(45)] + [(45, None), (46, [0.0, 0.0, 0.0]), (47, [1.0, None, 1.0]), (60, [float("nan"), 1.0, 1.0])]
+        spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+        spark.createDataFrame([(6, 1, 0), (7, 0, 0), (99, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    con = duckdb.connect()
+    for table in tables:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet{'/*.parquet' if source == 'odd' else ''}'")
+    want = con.execute(ORACLES[name])
+    names = [d[0] for d in want.description]
+    df = QUERIES[name](spark, folder)
+    rows_equal(df.collect(), want.fetchall(), df.columns, names)
+
+
 @pytest.mark.parametrize("table", ["docs", "odd"])
 def test_quality_counts(request, table):
     df = request.getfixturevalue(table)
