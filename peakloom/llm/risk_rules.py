@@ -19,10 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import GAP, WORD, broadcast_checked, settle, text_of, words_of
+from peakloom.llm.common import WORD, broadcast_checked, settle, text_of, words_of
 
 SYMBOLS = "#*$%&|<>"
-_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 MEASURES = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = ("n_lines", "n_capitals")
@@ -79,16 +78,17 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     same = lambda e, j: F.coalesce(e["h"] == F.get("_s", j)["h"], F.lit(False))
     own = own.withColumn("_d", F.filter("_s", lambda e, j: same(e, j - 1) | same(e, j + 1)))
     covered = F.size(F.array_distinct(F.flatten(F.transform("_d", lambda e: F.array(e["i"], e["i"] + 1, e["i"] + 2)))))
-    length = F.char_length("_t")
+    # What is not counted goes in whole runs, and the rest is measured.
+    only = lambda kept: F.char_length(F.regexp_replace("_t", f"[^{kept}]+", "")).cast("long")
     return own.select(
         *df.columns,
         F.size("_w").cast("long").alias("n_words"),
-        F.char_length(F.regexp_replace("_t", GAP, "")).cast("long").alias("word_chars"),
-        (length - F.char_length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        only(SYMBOLS).alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("_s").isNull(), 0).otherwise(covered).cast("long").alias("n_repeat_words"),
         F.size("_l").cast("long").alias("n_lines"),
-        (length - F.char_length(F.translate("_t", _CAPITALS, ""))).cast("long").alias("n_capitals"),
+        only("A-Z").alias("n_capitals"),
         F.monotonically_increasing_id().alias("_mark"),
     )
 
