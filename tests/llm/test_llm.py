@@ -306,6 +306,46 @@ def test_language_model(request, table):
         assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+@pytest.mark.parametrize("common", [0, 50, 2_000_000])
+def test_language_model_equals_brute_force(spark, docs, common):
+    # A gram counts by its occurrences, whatever is sent to tasks.
+    extra = [(10**7 + i, f"filler{i % 7} red fish swims x{i}") for i in range(30)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    config = suffix_tree.TreeConfig(common_grams=common)
+    rows = [(i, (*(t or "").encode().lower().split(), b"")) for i, t in texts_of(df)]
+    train = [w for i, w in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w[a : a + n] for w in train for n in range(1, config.depth + 2) for a in range(len(w) - n + 1))
+    total, distinct = sum(map(len, train)), len({x for w in train for x in w})
+    kept = {g: c for g, c in counts.items() if c >= config.least or g == (b"",)}
+    entries = {}
+    for g in kept:
+        if len(g) > 1:
+            entries.setdefault(g[:-1], []).append(g)
+    states = {}
+
+    def prob(context, word):
+        if not context:
+            return (counts[word,] + 1) / (total + distinct + 1)
+        shorter = prob(context[1:], word)
+        if context not in states:
+            return shorter
+        g = (*context, word)
+        return (kept[g] - config.discount) / counts[context] if g in kept else shorter * states[context]
+
+    for context in sorted(entries, key=len):
+        found, n = entries[context], counts[context]
+        own, parent = [kept[g] / n for g in found], [prob(context[1:], g[-1]) for g in found]
+        rest, before = max(1 - sum(own), 1e-12), max(1 - sum(parent), 1e-12)
+        gain = sum(kept[g] * math.log(a / b) for g, a, b in zip(found, own, parent)) + n * rest * math.log(rest / before)
+        if 2 * gain > len(found) + config.deviations * math.sqrt(2 * len(found)):
+            states[context] = max(1 - sum((kept[g] - config.discount) / n for g in found), 1e-12) / before
+    assert {len(c) for c in states} == {1, 2, 3} and (b"red", b"fish") in entries
+    want = sorted((i or 0, sum(math.log10(prob(w[max(0, t - config.depth) : t], w[t])) for t in range(len(w)))) for i, w in rows)
+    got = sorted((r["doc_id"] or 0, r["score"]) for r in suffix_tree.score_documents(df, config).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-9)
+
+
 def test_tree_is_a_distribution(docs):
     train = docs.select("text")
     tree = suffix_tree.grow_tree(train, suffix_tree.word_counts(train), suffix_tree.TreeConfig(2, 1e-9, 1e-4))
