@@ -4,9 +4,10 @@ The lengths of all rows form one global histogram.  A dynamic program over it ch
 boundaries.  Every document is padded to the boundary of its bucket, and a batch takes as many as
 the token budget holds (at least one, so a longer document is a batch of its own; none is cut).
 
-The histogram keeps lengths below 512 apart and groups longer ones by their leading nine bits, so it
-has at most 512 + 256 rows for each doubling, whatever the data.  Rows are numbered inside a bucket by
-chunks of a hash order with offsets from chunk counts; no bucket meets in one task.
+The histogram has a row for each different length.  n different lengths take at least n * n / 2 tokens,
+so it grows with the square root of the corpus at most: 6e9 tokens have at most 110,000.  The program
+keeps the lower hull of its options, so a bucket takes one pass over the histogram.  Rows are numbered
+inside a bucket by chunks of a hash order with offsets from chunk counts; no bucket meets in one task.
 
 Nulls: a null text has no words, and every document has an end token.  Null and repeated ids keep
 rows of their own.  An empty table gives no rows.
@@ -14,6 +15,7 @@ rows of their own.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -23,7 +25,6 @@ from pyspark.sql import functions as F
 
 from peakloom.llm.common import settle, text_of, with_row, words_of
 
-EXACT_BITS = 9
 CHUNK_ROWS = 20_000
 
 
@@ -38,13 +39,6 @@ def token_count(text: str = "text") -> Column:
     return (F.size(words_of(text_of(text))) + 1).cast("long")
 
 
-def length_bin(length: Column) -> Column:
-    """The length with all but its nine leading bits cleared."""
-    leading = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double")))
-    step = F.pow(F.lit(2.0), F.greatest(leading - (EXACT_BITS - 1), F.lit(0))).cast("long")
-    return length - length % step
-
-
 def best_boundaries(longest: np.ndarray, count: np.ndarray, total: np.ndarray, buckets: int) -> list[int]:
     """Boundaries of least padding over a histogram sorted by length.
 
@@ -52,38 +46,47 @@ def best_boundaries(longest: np.ndarray, count: np.ndarray, total: np.ndarray, b
     of the bins i to j costs longest[j] * rows - tokens.
     """
     n = len(longest)
-    rows, tokens = np.r_[0, np.cumsum(count, dtype=np.float64)], np.r_[0, np.cumsum(total, dtype=np.float64)]
-    cost = np.full(n + 1, np.inf)
-    cost[0] = 0
+    edge = [int(x) for x in longest]
+    rows, tokens = [0, *itertools.accumulate(map(int, count))], [0, *itertools.accumulate(map(int, total))]
+    cost: list[int | None] = [0] + [None] * n
     choice = []
     for _ in range(min(buckets, n)):
-        after, back = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        after[0] = 0
+        after, back = [0] * (n + 1), np.zeros(n + 1, np.int64)
+        # A bucket after bin i costs height - edge * slope, plus what its end alone decides; slopes rise,
+        # edges rise, so the best option only moves on along the hull.
+        hull: list[tuple[int, int, int]] = []
+        best = 0
         for j in range(1, n + 1):
-            options = cost[:j] + longest[j - 1] * (rows[j] - rows[:j]) - (tokens[j] - tokens[:j])
-            back[j] = options.argmin()
-            after[j] = options[back[j]]
+            if cost[j - 1] is not None:
+                height, slope = cost[j - 1] + tokens[j - 1], rows[j - 1]
+                if not hull or slope > hull[-1][1]:
+                    while len(hull) > 1 and (height - hull[-2][0]) * (hull[-1][1] - hull[-2][1]) <= (hull[-1][0] - hull[-2][0]) * (slope - hull[-2][1]):
+                        hull.pop()
+                    hull.append((height, slope, j - 1))
+            best = min(best, len(hull) - 1)
+            x = edge[j - 1]
+            while best + 1 < len(hull) and hull[best + 1][0] - x * hull[best + 1][1] < hull[best][0] - x * hull[best][1]:
+                best += 1
+            height, slope, back[j] = hull[best]
+            after[j] = height - x * slope + x * rows[j] - tokens[j]
         choice.append(back)
         cost = after
     out, j = [], n
     for back in reversed(choice):
         if j == 0:
             break
-        out.append(int(longest[j - 1]))
+        out.append(edge[j - 1])
         j = int(back[j])
     return out[::-1]
 
 
 def boundaries(lengths: DataFrame, buckets: int) -> list[int]:
-    """Bucket boundaries of a table with ``n_tokens``; the histogram has a bounded number of rows."""
-    bins = lengths.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(
-        F.max("n_tokens").alias("longest"), F.count("*").alias("n"), F.sum("n_tokens").alias("total")
-    )
-    rows = sorted((r["longest"], r["n"], r["total"]) for r in bins.collect())
-    if not rows:
+    """Bucket boundaries of a table with ``n_tokens``."""
+    found = lengths.groupBy("n_tokens").agg(F.count("*").alias("n")).toArrow().sort_by("n_tokens")
+    if not len(found):
         return []
-    longest, count, total = (np.array(x) for x in zip(*rows, strict=True))
-    return best_boundaries(longest, count, total, buckets)
+    longest, count = found["n_tokens"].to_numpy(), found["n"].to_numpy()
+    return best_boundaries(longest, count, longest * count, buckets)
 
 
 def pack(lengths: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:

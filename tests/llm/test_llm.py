@@ -231,6 +231,20 @@ def test_best_boundaries(buckets):
     assert sum(c * min(e for e in edges if e >= x) for x, c in zip(longest, count)) == best
 
 
+def test_boundaries_of_long_texts(spark):
+    rng = np.random.default_rng(4)
+    # 19,968 and 20,031 have the same nine leading bits.
+    sizes = np.repeat(np.r_[rng.choice(400, 30, replace=False) + 1, 19_968, 20_031, rng.choice(9_000, 30, replace=False) + 1_000], rng.integers(1, 4, 62))
+    sizes = np.r_[sizes, np.full(10_000, 19_968)]
+    edges = packing.boundaries(spark.createDataFrame([(int(x),) for x in sizes], "n_tokens long"), 6)
+    longest, count = np.unique(sizes, return_counts=True)
+    n = len(longest)
+    cost = [0] + [math.inf] * n
+    for _ in range(6):
+        cost = [0] + [min(cost[i] + int((count[i:j] * (longest[j - 1] - longest[i:j])).sum()) for i in range(j)) for j in range(1, n + 1)]
+    assert sum(int(c) * (min(e for e in edges if e >= x) - int(x)) for x, c in zip(longest, count)) == cost[n]
+
+
 def test_packing(spark, odd, docs):
     for df in (docs, odd):
         rows = packing.pack_documents(df, packing.PackConfig(4, 2_000)).collect()
