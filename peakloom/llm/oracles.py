@@ -1,12 +1,12 @@
 """DuckDB SQL with the same rows as the queries it is given for.
 
-The five others have none: XXH64 (op3), the tokenizer's merges (op4), the dynamic program (op5) and
-the two learned models (op2, op6) are not expressible; ``tests/llm`` holds them against plain versions.
+The six others have none: XXH64 (op3), the tokenizer's merges (op4), the dynamic program (op5), the checksum
+of planted faults (op12) and the two learned models (op2, op6) are not expressible; ``tests/llm`` holds them against plain versions.
 """
 
 from __future__ import annotations
 
-from peakloom.llm import risk_rules, secret_scan, url_filter
+from peakloom.llm import infill, risk_rules, secret_scan, url_filter
 
 __all__ = ["ORACLES"]
 
@@ -238,10 +238,79 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM measured
 """
 
+# --- op11: every window of an item looked up among all runs of words of the documents -----------
+
+_ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WINDOW = 10
+
+
+def _runs(words: str, t: str) -> str:
+    return f"list_transform(range(len({words}) - {t} + 1), lambda i: struct_pack(place := i, run := list_aggregate({words}[i + 1:i + {t}], 'string_agg', ' ')))"
+
+
+OP11 = f"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{_ITEM_WORD}') AS words FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_lower("coalesce(text, '')")}, '{_ITEM_WORD}') AS words FROM benchmark
+), spans AS MATERIALIZED (
+  SELECT DISTINCT item, t, w.run AS run
+  FROM (SELECT item, t, unnest({_runs("words", "t")}) AS w FROM (SELECT *, least(len(words), {_WINDOW}) AS t FROM items WHERE len(words) > 0))
+), found AS (
+  SELECT rid, t, w.place AS place, w.run AS run
+  FROM (SELECT rid, t, unnest({_runs("words", "t")}) AS w FROM docs, (SELECT DISTINCT t FROM spans) WHERE len(words) >= t)
+  WHERE w.run IN (SELECT run FROM spans)
+), hit AS (
+  SELECT rid, count(DISTINCT word) AS n FROM (SELECT rid, unnest(range(place, place + t)) AS word FROM found) GROUP BY rid
+), listed AS (
+  SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT rid, item FROM found JOIN spans USING (t, run)) GROUP BY rid
+)
+SELECT doc_id, len(words) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(listed.n, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (rid) LEFT JOIN listed USING (rid)
+"""
+
+
+# --- op13: units by pattern, cut by position ------------------------------------------------------
+
+
+def _draw(i: int) -> str:
+    return f"CAST('0x' || substr(digest, {8 * i + 1}, 8) AS BIGINT)"
+
+
+_FIM = infill.InfillConfig()
+_P, _S, _M = (_quoted(x) for x in (_FIM.prefix, _FIM.suffix, _FIM.middle))
+
+OP13 = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('{_FIM.seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units
+  FROM documents
+), drawn AS (
+  SELECT *, len(units) AS n, {_draw(0)} % (len(units) + 1) AS one, {_draw(1)} % (len(units) + 1) AS two,
+         CASE WHEN text = '' OR contains(text, {_P}) OR contains(text, {_S}) OR contains(text, {_M}) OR {_draw(2)} % 100 >= {_FIM.cut_percent}
+              THEN 'plain' WHEN {_draw(3)} % 100 < {_FIM.suffix_first_percent} THEN 'spm' ELSE 'psm' END AS form
+  FROM docs
+), cut AS (
+  SELECT *, array_to_string(units[1:least(one, two)], '') AS prefix, array_to_string(units[least(one, two) + 1:greatest(one, two)], '') AS middle,
+         array_to_string(units[greatest(one, two) + 1:n], '') AS suffix
+  FROM drawn
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN {_P} || prefix || {_S} || suffix || {_M} || middle
+                        ELSE {_S} || suffix || {_P} || prefix || {_M} || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filters": OP1,
     "op7_warc": OP7,
     "op8_secret_scans": OP8,
     "op9_nearest_neighbours": OP9,
     "op10_quality_rules": OP10,
+    "op11_decontamination": OP11,
+    "op13_infill": OP13,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from peakloom.llm import (
     block_ann,
+    infill,
     packing,
     pu_quality,
     risk_rules,
@@ -17,8 +18,10 @@ from peakloom.llm import (
     sentencepiece_codec,
     simhash,
     suffix_tree,
+    turn_repair,
     url_filter,
     warc,
+    winnowing,
 )
 from peakloom.llm.common import load, settle
 from peakloom.llm.oracles import ORACLES
@@ -105,3 +108,37 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = risk_rules.quality_rules(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", *risk_rules.MEASURES, "base_failed", "kept")
+
+
+@query
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.overlaps(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["stop"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        "n_items",
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+@query
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations")
+    return turn_repair.digest(turn_repair.edit_script(turn_repair.damage(turns)), turns)
+
+
+@query
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id",
+        F.col("n_units").alias("n"),
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(infill.restore(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )

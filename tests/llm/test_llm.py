@@ -64,7 +64,7 @@ def rows_equal(got, want, columns, names):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 @pytest.mark.parametrize("source", ["sf", "odd"])
 def test_oracles(spark, odd, tmp_path, name, source):
-    tables = ("documents", "embeddings", "pages", "labels")
+    tables = ("documents", "embeddings", "pages", "labels", "benchmark")
     folder = SF
     if source == "odd":
         folder = str(tmp_path)
@@ -75,6 +75,8 @@ def test_oracles(spark, odd, tmp_path, name, source):
         vectors = [(i, [float(i % 7), 1.0 - i, 0.5]) for i in range(45)] + [(45, None), (46, [0.0, 0.0, 0.0]), (47, [1.0, None, 1.0]), (60, [float("nan"), 1.0, 1.0])]
         spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
         spark.createDataFrame([(6, 1, 0), (7, 0, 0), (99, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        items = [(1, "one TWO three"), (2, "ab " * 12), (3, None), (4, "-"), (5, "one two three")]
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     con = duckdb.connect()
     for table in tables:
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet{'/*.parquet' if source == 'odd' else ''}'")
