@@ -224,8 +224,6 @@ class HsqcTrackConfig:
     min_score: float = 0.40
     pair_weight: float = 1.20
     reciprocal_bonus: float = 0.18
-    top_k_per_seed: int = 6
-    max_per_sample: int = 3
     keep_singletons: bool = True
 
     def __post_init__(self) -> None:

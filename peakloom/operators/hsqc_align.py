@@ -36,10 +36,11 @@ def coarse_shift(peaks: DataFrame, config: HsqcTrackConfig) -> DataFrame:
 
 
 def apply_coarse_shift(peaks: DataFrame, moves: DataFrame) -> DataFrame:
+    """Adds c_corr and h_corr, on a grid of 1e-5 ppm."""
     return (
         peaks.join(moves, ["series_id", "order_index"], "left")
-        .withColumn("c_corr", F.col("c_ppm") + F.coalesce("c_move", F.lit(0.0)))
-        .withColumn("h_corr", F.col("h_ppm") + F.coalesce("h_move", F.lit(0.0)))
+        .withColumn("c_corr", F.round(F.col("c_ppm") + F.coalesce("c_move", F.lit(0.0)), 5))
+        .withColumn("h_corr", F.round(F.col("h_ppm") + F.coalesce("h_move", F.lit(0.0)), 5))
         .drop("c_move", "h_move")
     )
 

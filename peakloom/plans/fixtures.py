@@ -236,6 +236,7 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not ctes:
         return body
-    if body[:5].upper() == "WITH ":
-        return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
+    for lead in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(lead):
+            return lead + ",\n".join(ctes) + ",\n" + body[len(lead) :]
     return "WITH " + ",\n".join(ctes) + "\n" + body
