@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from peakloom.session import cut_lineage, table
 
-__all__ = ["GAP", "WORD", "ascii_lower", "broadcast_checked", "chunks", "load", "settle", "shuffle_partitions", "text_of", "tokens_of", "with_row", "words_of"]
+__all__ = ["GAP", "WORD", "ascii_lower", "broadcast_checked", "chunks", "load", "packed", "settle", "shuffle_partitions", "text_of", "tokens_of", "unpacked", "with_row", "words_of"]
 
 # Words are runs of anything but space and the controls 09 to 0D.
 GAP = r"[\x20\x09-\x0D]+"
@@ -42,6 +42,16 @@ def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def packed(df: DataFrame, *extra: str | Column) -> DataFrame:
+    """All columns of ``df`` as one struct ``_all``, so that no name of its own meets theirs."""
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("_all"), *extra)
+
+
+def unpacked(columns: list[str], **changed: Column) -> list[Column]:
+    """The columns of ``_all``, some of them changed."""
+    return [changed[c].alias(c) if c in changed else F.col("_all").getField(c).alias(c) for c in columns]
+
+
 def text_of(column: str | Column) -> Column:
     """Null counts as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -23,9 +23,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import settle, text_of, with_row, words_of
+from peakloom.llm.common import packed, settle, text_of, unpacked, with_row, words_of
 
 CHUNK_ROWS = 20_000
+RESULTS = ("bucket", "bucket_tokens", "batch", "slot", "padding")
 
 
 @dataclass(frozen=True)
@@ -92,13 +93,14 @@ def boundaries(lengths: DataFrame, buckets: int) -> list[int]:
 def pack(lengths: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:
     """Adds bucket, bucket_tokens, batch, slot and padding to every row; ``n_tokens`` must be there.
 
-    Other columns stay.  Batches of a bucket are numbered from 0; all but its last are full.
+    Columns with these names are replaced; all others stay.  Batches of a bucket are numbered from 0; all but its last are full.
     """
-    rows = settle(with_row(lengths))
+    kept = [c for c in lengths.columns if c.lower() not in RESULTS]
+    rows = settle(with_row(packed(lengths, "n_tokens")))
     edges = boundaries(rows, config.buckets)
     if not edges:
         kinds = {"bucket": "int", "bucket_tokens": "bigint", "batch": "bigint", "slot": "bigint", "padding": "bigint"}
-        return rows.withColumns({k: F.lit(None).cast(v) for k, v in kinds.items()}).drop("_row")
+        return rows.select(*unpacked(kept), *[F.lit(None).cast(v).alias(k) for k, v in kinds.items()])
     bucket = F.lit(len(edges) - 1)
     for i, edge in reversed(list(enumerate(edges))):
         bucket = F.when(F.col("n_tokens") <= edge, i).otherwise(bucket)
@@ -115,7 +117,7 @@ def pack(lengths: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:
     hold = F.greatest(F.floor(F.lit(config.token_budget) / F.col("bucket_tokens")), F.lit(1)).cast("long")
     at = F.col("_at") + F.col("_before")
     return placed.withColumn("bucket_tokens", edge).select(
-        *lengths.columns,
+        *unpacked(kept),
         "bucket",
         "bucket_tokens",
         F.floor(at / hold).cast("long").alias("batch"),

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import WORD, broadcast_checked, settle, text_of, words_of
+from peakloom.llm.common import WORD, broadcast_checked, packed, settle, text_of, unpacked, words_of
 
 SYMBOLS = "#*$%&|<>"
 
@@ -174,8 +174,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", config:
     """
     measured = settle(measures(docs.select("doc_id", "text", stratum)).drop("text", "_mark"))
     cutoffs = certified_cutoffs(good_labelled(measured, labels), stratum, config)
-    judged = judge(measures(docs), cutoffs, stratum, config)
-    return judged.filter(F.col("kept") & (F.col("_mark") >= 0)).select(*docs.columns)
+    judged = judge(measures(packed(docs, "text", stratum)), cutoffs, stratum, config)
+    return judged.filter(F.col("kept") & (F.col("_mark") >= 0)).select(*unpacked(docs.columns))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", config: RiskConfig = RiskConfig()) -> DataFrame:

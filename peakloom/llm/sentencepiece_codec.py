@@ -178,9 +178,9 @@ def codec(model: str) -> PieceCodec:
 
 
 def encode(df: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """Replaces the text column by ``ids`` (binary)."""
-    rest = [c for c in df.columns if c != text]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text)
+    """Replaces the text column by ``ids`` (binary), and a column ``ids`` if there is one."""
+    rest = [c for c in df.columns if c not in (text, "ids")]
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bytes] = {}
@@ -193,7 +193,7 @@ def encode(df: DataFrame, model: str, text: str = "text") -> DataFrame:
                     part = rows.slice(a, b - a)
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(ids, pa.binary())], [*rest, "ids"])
 
-    return df.select(*rest, text).mapInArrow(run, f"{fields}, ids binary")
+    return df.select(*rest, text).mapInArrow(run, f"{fields}ids binary")
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids") -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import GAP, ascii_lower, broadcast_checked, settle, shuffle_partitions, tokens_of, with_row
+from peakloom.llm.common import GAP, ascii_lower, broadcast_checked, packed, settle, shuffle_partitions, tokens_of, unpacked, with_row
 from peakloom.operators.components import connected_components
 
 SEED = 42
@@ -255,7 +255,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes
     on their shingle sets; groups are the components of the links.  Candidates come from sampled
     bands, so a pair close to the limit can be missed (see the README for the recall).
     """
-    rows = with_row(docs)
+    rows = with_row(packed(docs, "doc_id", "text"))
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), GAP, " "))
     same = F.md5(ascii_lower(words))
     prints = settle(fingerprints(rows.select("_row", "doc_id", same.alias("same"), "text"), shingle, lanes))
@@ -275,4 +275,4 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes
     near = roots.join(grouped.select(F.col("h._row").alias("_row")), "_row", "left_anti").select("_row")
     copies = prints.select("_row").join(heads.select("_row"), "_row", "left_anti")
     gone = broadcast_checked(settle(copies.unionByName(near)), MAX_BROADCAST_ROWS)
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    return rows.join(gone, "_row", "left_anti").select(*unpacked(docs.columns))
