@@ -56,6 +56,18 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+# Products of int8 values fit into float32 without rounding up to 127 * 127 * width < 2 ** 24.
+SLAB = 1_024
+
+
+def int8_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of int8 values of any width: slabs in float32, their sum in float64."""
+    total = np.zeros((len(a), len(b)))
+    for at in range(0, a.shape[1], SLAB):
+        total += a[:, at : at + SLAB] @ b[:, at : at + SLAB].T
+    return total
+
+
 def tile(q_rows, q: np.ndarray, c_rows, c_ids, c: np.ndarray, k: int, step: int = 256) -> Iterator[tuple[int, list[tuple[float, int]]]]:
     """Place of each query with its best (score, -vec_id) pairs among the candidates of the tile."""
     c8, cs, cn, ce = quantised(c)
@@ -63,7 +75,7 @@ def tile(q_rows, q: np.ndarray, c_rows, c_ids, c: np.ndarray, k: int, step: int
     for at in range(0, len(q), step):
         part = q[at : at + step]
         q8, qs, qn, qe = quantised(part)
-        rough = (q8 @ c8.T) * (qs[:, None] * cs[None, :])
+        rough = int8_products(q8, c8) * (qs[:, None] * cs[None, :])
         # <q, c> = <q', c'> + <q', c - c'> + <q - q', c>; a little more covers rounding.
         slack = qn[:, None] * ce[None, :] + qe[:, None] * norm[None, :]
         slack += 1e-9 * (np.abs(rough) + slack) + np.finfo(np.float64).tiny
