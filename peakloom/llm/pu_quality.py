@@ -2,8 +2,10 @@
 
 The classifier minimises the non-negative unbiased risk: with class prior p, the risk of positives
 counts p times, and the risk of negatives is that of unlabelled text less p times that of positives
-taken as negatives; where this falls below zero the step goes the other way.  The prior is estimated
-as the share of label 1 among labelled training rows.  Inputs are shares of character classes and
+taken as negatives; where this falls below zero the step goes the other way.  The prior is estimated from
+the scores of positives and unlabelled texts alone: a first model is fitted on half of them, and on the other half
+the share of unlabelled texts above a score is held against that of positives, at the score where the upper bound
+of their ratio is least.  Inputs are shares of character classes and
 other figures of the text, cut into quantile bins.
 
 Fitting uses a bounded sample (``positives`` and ``unlabelled`` rows, chosen by a hash of the id);
@@ -13,6 +15,7 @@ trusted positives nothing is learned: every score is 0.5, and the filter keeps a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakloom.llm.common import packed, unpacked
+
 LIMIT = 0.7
 
 
@@ -31,6 +36,8 @@ class PuConfig:
     steps: int = 1_000
     rate: float = 0.005
     decay: float = 1e-4
+    # Chance that a bound of the prior's estimate fails.
+    doubt: float = 0.1
 
 
 # Bins are finer at both ends, where unusual texts stand out.
@@ -145,6 +152,20 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, config: PuCo
     return Model(places, edges, mean[:-1].astype(np.float32), float(mean[-1]), prior)
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, config: PuConfig = PuConfig()) -> float:
+    """Share of positives among unlabelled rows, by the best top bin of a first model's scores."""
+    first = fit(positive[::2], unlabelled[::2], 0.5, config)
+    of_p, of_u = (np.sort(first.scores(x)) for x in (positive[1::2], unlabelled[1::2]))
+    if not len(of_p) or not len(of_u):
+        return 0.5
+    at = np.unique(of_p)
+    share_p = 1 - np.searchsorted(of_p, at) / len(of_p)
+    share_u = 1 - np.searchsorted(of_u, at) / len(of_u)
+    doubt = sum(math.sqrt(math.log(4 / config.doubt) / (2 * len(x))) for x in (of_p, of_u))
+    best = int(np.argmin((share_u + doubt) / share_p))
+    return float(np.clip(share_u[best] / share_p[best], 0.01, 0.99))
+
+
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -160,13 +181,10 @@ def _feature_rows(df: DataFrame, keep: str, kind: str) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, config: PuConfig = PuConfig()) -> Model | None:
     """Fits on a bounded sample; labels come only from rows that are not held out."""
-    known = labels.filter(~held_out() & F.col("quality").isNotNull()).select("doc_id", "quality")
-    ones, all_ = known.agg(F.coalesce(F.sum("quality"), F.lit(0)), F.count("*")).first()
-    if not ones:
-        return None
-    prior = min((ones + 1) / (all_ + 2), 0.99)
+    known = labels.filter(~held_out() & (F.col("quality") == 1)).select("doc_id").distinct()
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     order = F.xxhash64("doc_id")
-    chosen = known.filter("quality = 1").select("doc_id").distinct().orderBy(order).limit(config.positives)
+    chosen = known.orderBy(order).limit(config.positives)
     total = docs.count()
     share = min(1.0, config.unlabelled / max(total, 1))
     sampled = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 24)) < int(share * (1 << 24)) if share < 1 else F.lit(True)
@@ -182,7 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, config: PuConfig = PuConfig()) ->
     unlabelled = x[np.char.find(kind, "u") >= 0]
     if not len(positive) or not len(unlabelled):
         return None
-    return fit(positive, unlabelled, prior, config)
+    return fit(positive, unlabelled, estimated_prior(positive, unlabelled, config), config)
 
 
 def add_scores(df: DataFrame, model: Model | None) -> DataFrame:
@@ -212,4 +230,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, config: PuConfig = PuConfig())
     model = learn(docs, labels, config)
     if model is None:
         return docs
-    return add_scores(docs.withColumnRenamed("score", "_own_score") if "score" in docs.columns else docs, model).filter(F.col("score") >= LIMIT).drop("score")
+    scored = add_scores(packed(docs, "text"), model).filter(F.col("score") >= LIMIT)
+    return scored.select(*unpacked(docs.columns))
