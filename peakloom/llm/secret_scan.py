@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import broadcast_checked, settle, text_of, with_row
+from peakloom.llm.common import broadcast_checked, packed, settle, text_of, unpacked, with_row
 
 # Base patterns, the group that must be long enough, and its least length.
 # [0-9a-f]+ of 32 or more and AKIA[A-Z0-9]+ of 16 or more take whole runs, so the length can stand
@@ -36,6 +36,8 @@ ROLES = ("id", "secret", "endpoint")
 
 SCOPE = 200
 CELL = 256
+# Matches whose places are added up together.
+BLOCK = 256
 MASK = "[SECRET]"
 MAX_BROADCAST_ROWS = 50_000
 
@@ -46,9 +48,10 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0
     """Matches of a pattern as (start, kind, end).
 
     Each match is wrapped in marks, the text is cut at the opening mark, and lengths are added up.
-    Marks that stand in the text are first replaced by a character no pattern accepts.
+    Marks that stand in the text are first replaced by DEL, which no pattern accepts.  Lengths are added up in
+    blocks, so that a long list of matches is not copied for each of them.
     """
-    clean = F.translate(text, "\u0001\u0002\u0003", "!!!")
+    clean = F.translate(text, "\u0001\u0002\u0003", "\u007f\u007f\u007f")
     inner = f"\u0001$0\u0003${group}\u0002" if group else "\u0001$0\u0003\u0002"
     pieces = F.split(F.regexp_replace(clean, pattern, inner), "\u0001")
     parts = F.transform(
@@ -59,7 +62,9 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0
             F.char_length(F.substring_index(p, "\u0002", -1)).alias("rest"),
         ),
     )
-    start = F.struct(F.char_length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast(_SPANS).alias("found"))
+    none = F.array().cast(_SPANS)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda b: F.slice(parts, b * BLOCK + 1, F.lit(BLOCK)))
+    start = F.struct(F.char_length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("found"))
     step = lambda a, p: F.struct(
         (a["at"] + p["own"] + p["rest"]).alias("at"),
         F.when(
@@ -69,7 +74,13 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0
         .otherwise(a["found"])
         .alias("found"),
     )
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda a: a["found"])).otherwise(F.array().cast(_SPANS))
+
+    def block_step(a: Column, block: Column) -> Column:
+        inner = F.aggregate(block, F.struct(a["at"].alias("at"), none.alias("found")), step)
+        joined = F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.array_append(a["found"], x["found"]).alias("found")))
+        return F.get(joined, F.lit(0))
+
+    return F.when(text.rlike(pattern), F.flatten(F.aggregate(blocks, start, block_step, lambda a: a["found"]))).otherwise(none)
 
 
 def scan_rows(df: DataFrame) -> DataFrame:
@@ -184,7 +195,7 @@ def _masked(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every reported span masked; other columns stay, null texts stay null."""
-    rows = with_row(docs)
+    rows = with_row(packed(docs, "text"))
     found = settle(scan_rows(rows.select("_row", "text")).select("_row", "_base", "_weak").filter("size(_base) > 0 OR size(_weak) > 0"))
     spans = found.join(link_parts(found), "_row", "left").select(
         "_row", F.sort_array(F.concat("_base", F.coalesce("_linked", F.array().cast(_SPANS)))).alias("_spans")
@@ -192,4 +203,4 @@ def redact(docs: DataFrame) -> DataFrame:
     spans = broadcast_checked(settle(spans.filter("size(_spans) > 0")), MAX_BROADCAST_ROWS)
     masked = rows.join(spans, "_row", "left")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_masked(F.col("text"), F.col("_spans")))
-    return masked.withColumn("text", text).select(*docs.columns)
+    return masked.select(*unpacked(docs.columns, text=text))
