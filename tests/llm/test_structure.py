@@ -306,3 +306,149 @@ def test_skip_list_reaches_every_rank():
         lanes = infill.UnitSkipList(text)
         ends = [0, *itertools.accumulate(map(len, units))]
         assert lanes.units == len(units) and [lanes.offset(r) for r in range(len(ends))] == ends
+
+
+# --- columns of other operators' names, and what was wrong before -------------------------------
+
+NAMES = ("_row", "_all", "score", "bucket", "batch", "n_words", "ids", "_own_score", "same", "kept", "_mark", "_spans", "_base", "_h")
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    return docs, docs.select("*", *[F.concat(F.lit(c), "doc_id").alias(c) for c in NAMES])
+
+
+@pytest.mark.parametrize("stage", ["rules", "classifier", "near", "secrets", "packing", "pieces"])
+def test_clashing_columns_keep_their_values(spark, wide, stage):
+    import public_tokenizers
+
+    from peakloom.llm import packing, pu_quality, risk_rules, secret_scan, sentencepiece_codec, simhash
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    run = {
+        "rules": lambda d: risk_rules.keep_good(d, labels),
+        "classifier": lambda d: pu_quality.keep_good(d, labels),
+        "near": simhash.near_dedup,
+        "secrets": secret_scan.redact,
+        "packing": lambda d: packing.pack(d.withColumn("n_tokens", F.length("text").cast("long"))),
+        "pieces": lambda d: sentencepiece_codec.encode(d, model),
+    }[stage]
+    plain, clashing = (run(d) for d in wide)
+    key = [c for c in plain.columns if c in ("doc_id", "text", "padding")]
+    assert Counter(map(tuple, plain.select(key).collect())) == Counter(map(tuple, clashing.select(key).collect()))
+    own = [c for c in NAMES if c not in plain.columns]
+    rows = clashing.select("doc_id", *own).collect()
+    assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in own)
+
+
+def test_neighbours_of_wide_vectors(spark):
+    import numpy as np
+
+    from peakloom.llm import block_ann
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(90, 128, 4_096)
+    rows = np.tile(base, (80, 1))
+    for r in rows:
+        r[rng.integers(0, 4_096, 3)] = 127
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in block_ann.search(df, every=20, k=10, block_rows=30).collect()}
+    for q in range(0, 80, 20):
+        score = rows @ rows[q]
+        want = sorted((i for i in range(80) if i != q), key=lambda i: (-score[i], i))[:10]
+        assert [got[q, n + 1] for n in range(10)] == want
+
+
+def test_many_matches_and_marks(spark):
+    from peakloom.llm import secret_scan
+
+    text = " ".join(f"{i:032x}" for i in range(3_000))
+    found = secret_scan.scan_secrets(spark.createDataFrame([(1, text), (2, "https://h.example\x01/tail password=abcdefgh12")], "doc_id long, text string"))
+    spans = {r["doc_id"]: r["base"] for r in found.collect()}
+    assert [(s["start"], s["end"]) for s in spans[1]] == [(33 * i, 33 * i + 32) for i in range(3_000)]
+    # A mark in the text ends an endpoint.
+    ends = found.sparkSession.createDataFrame([("https://h.example\x01/tail",)], "t string").select(
+        secret_scan._spans(F.col("t"), secret_scan.WEAK_ENDPOINT, 5).alias("s")
+    )
+    assert [(s["start"], s["end"]) for s in ends.first()["s"]] == [(0, 17)]
+
+
+# --- quality classifier ---------------------------------------------------------------------------
+
+
+def plain_features(text):
+    """The figures of a text, counted one by one."""
+    import math
+
+    from peakloom.llm import pu_quality as pu
+
+    data = (text or "").encode()
+    out = [0.0] * pu.N_FEATURES
+    if not data:
+        return out
+    n_classes = pu.N_CLASSES
+
+    def kind(byte):
+        return int(pu.CLASSES[byte])
+
+    words = re.findall(rb"[^ \t\n\x0b\x0c\r]+", data)
+    for c, n in Counter(map(kind, data)).items():
+        out[c] = n / len(data)
+    for c, n in Counter(kind(w[0]) for w in words).items():
+        out[n_classes + c] = n / len(words)
+    for c, n in Counter(kind(w[-1]) for w in words).items():
+        out[2 * n_classes + c] = n / len(words)
+    if words:
+        sizes, low, n = [len(w) for w in words], [w.lower() for w in words], len(words)
+        mean = sum(sizes) / n
+        lines = [x for x in data.split(b"\n") if x.strip()]
+        out[3 * n_classes :] = [
+            mean,
+            math.sqrt(sum((s - mean) ** 2 for s in sizes) / n),
+            sum(s <= 3 for s in sizes) / n,
+            sum(s >= 12 for s in sizes) / n,
+            math.log(1 + n),
+            len(set(low)) / n,
+            len(lines) / n,
+            1 - len(set(lines)) / len(lines),
+            sum(len(w) == 1 and kind(w[0]) > 6 for w in words) / n,
+            math.log(1 + max(sizes)),
+            len(set(itertools.pairwise(low))) / n,
+            sum(a == b for a, b in itertools.pairwise(low)) / n,
+        ]
+    return out
+
+
+def test_classifier_scores_against_plain_version(spark):
+    import math
+
+    from peakloom.llm import pu_quality
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, " \n "), (-4, "Ab,  é😀\n\nAb,")], "doc_id long, text string")
+    model = pu_quality.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = docs.unionByName(odd)
+    got = {r["doc_id"]: r["score"] for r in pu_quality.add_scores(rows, model).collect()}
+    import numpy as np
+
+    for doc, text in rows.collect():
+        # The bins compare 32-bit figures, as the features are stored.
+        x = [float(np.float32(v)) for v in plain_features(text)]
+        margin = model.bias + sum(float(w) for at, edge, w in zip(model.places, model.edges, model.weights, strict=True) if x[at] > edge)
+        assert got[doc] == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-3)
+
+
+@pytest.mark.parametrize("prior", [0.25, 0.6, 0.9])
+def test_prior_is_estimated_without_negatives(prior):
+    import numpy as np
+
+    from peakloom.llm import pu_quality
+
+    rng = np.random.default_rng(11)
+    draw = lambda n, at: rng.normal(at, 1.0, (n, 4)).astype(np.float32)
+    n = 4_000
+    positive = draw(2_000, 1.5)
+    unlabelled = rng.permutation(np.concatenate([draw(int(n * prior), 1.5), draw(n - int(n * prior), -1.5)]))
+    assert pu_quality.estimated_prior(positive, unlabelled) == pytest.approx(prior, abs=0.08)
