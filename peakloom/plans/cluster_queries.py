@@ -224,3 +224,26 @@ def adjusted_rand(spark, sf_dir):
     )
     scores = quality.agreement(labels, ["series_id"], "truth", "found")
     return scores.select("series_id", *[F.round(c, 6).alias(c) for c in ("ari", "precision", "recall", "f1")])
+
+
+@query(
+    "recovery_1ppm",
+    """WITH tracks AS (SELECT series_id, concat('M', CAST(mask AS VARCHAR)) AS label, center FROM fx_masks),
+        sizes AS (SELECT series_id, label, count(*) AS n FROM tracks GROUP BY 1, 2),
+        atoms AS (SELECT query_id AS component, peak_id, shift FROM fx_query_peaks),
+        totals AS (SELECT component, count(*) AS n_atoms FROM atoms GROUP BY 1),
+        found AS (SELECT t.series_id, t.label, component, count(DISTINCT peak_id) AS recovered FROM tracks t
+          JOIN atoms a ON abs(t.center - a.shift) <= 1.0 GROUP BY 1, 2, 3),
+        best AS (SELECT f.*, recovered / n AS ratio, row_number() OVER (PARTITION BY f.series_id, component
+          ORDER BY recovered DESC, recovered / n DESC, f.label) AS r FROM found f JOIN sizes s ON s.series_id = f.series_id AND s.label = f.label),
+        rated AS (SELECT series_id, b.component, label, recovered, n_atoms, recovered / n_atoms AS recall, ratio FROM best b
+          JOIN totals t ON t.component = b.component WHERE r = 1)
+       SELECT series_id, component, label, recovered, n_atoms, round(recall, 6) AS recall, round(ratio, 6) AS ratio, CASE
+         WHEN recall >= 0.8 AND ratio >= 0.7 THEN 'good' WHEN recall >= 0.8 THEN 'mixed' WHEN ratio >= 0.7 THEN 'fragmented' ELSE 'poor' END AS status
+       FROM rated""",
+)
+def recovery_1ppm(spark, sf_dir):
+    """Atoms of each query spectrum within 1 ppm of the best mask cluster of every series."""
+    labelled = series_queries.masked(spark, sf_dir).select("series_id", F.concat(F.lit("M"), F.col("mask").cast("string")).alias("label"), "center")
+    atoms = fx.query_peaks(spark, sf_dir).select(F.col("query_id").alias("component"), F.col("peak_id").alias("atom_id"), F.col("shift").alias("ppm"))
+    return quality.recovery(labelled, atoms).withColumns({c: F.round(c, 6) for c in ("recall", "ratio")})
