@@ -244,22 +244,24 @@ _ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WINDOW = 10
 
 
-def _runs(words: str, t: str) -> str:
-    return f"list_transform(range(len({words}) - {t} + 1), lambda i: struct_pack(place := i, run := list_aggregate({words}[i + 1:i + {t}], 'string_agg', ' ')))"
+def _runs(words: str, lengths: str, keys: str) -> str:
+    """Every run of t words with its place, for the lengths t of each text."""
+    frame = f"OVER (PARTITION BY {keys}, t ORDER BY place ROWS BETWEEN CURRENT ROW AND t - 1 FOLLOWING)"
+    one = f"SELECT {keys}, unnest(range(len(words))) AS place, unnest(words) AS word, len(words) AS n FROM {words}"
+    return f"SELECT * FROM (SELECT {keys}, t, place, n, string_agg(word, ' ') {frame} AS run FROM ({one}) JOIN {lengths}) WHERE place + t <= n"
 
 
 OP11 = f"""
 WITH docs AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{_ITEM_WORD}') AS words FROM documents
-), items AS (
-  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_lower("coalesce(text, '')")}, '{_ITEM_WORD}') AS words FROM benchmark
+), items AS MATERIALIZED (
+  SELECT row_number() OVER () AS iid, CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_lower("coalesce(text, '')")}, '{_ITEM_WORD}') AS words FROM benchmark
+), lengths AS (
+  SELECT iid AS lid, least(len(words), {_WINDOW}) AS t FROM items WHERE len(words) > 0
 ), spans AS MATERIALIZED (
-  SELECT DISTINCT item, t, w.run AS run
-  FROM (SELECT item, t, unnest({_runs("words", "t")}) AS w FROM (SELECT *, least(len(words), {_WINDOW}) AS t FROM items WHERE len(words) > 0))
-), found AS (
-  SELECT rid, t, w.place AS place, w.run AS run
-  FROM (SELECT rid, t, unnest({_runs("words", "t")}) AS w FROM docs, (SELECT DISTINCT t FROM spans) WHERE len(words) >= t)
-  WHERE w.run IN (SELECT run FROM spans)
+  SELECT DISTINCT item, t, run FROM ({_runs("items", "lengths ON lid = iid", "iid")}) JOIN items USING (iid)
+), found AS MATERIALIZED (
+  SELECT * FROM ({_runs("docs", "(SELECT DISTINCT t FROM spans) ON t <= n", "rid")}) WHERE run IN (SELECT run FROM spans)
 ), hit AS (
   SELECT rid, count(DISTINCT word) AS n FROM (SELECT rid, unnest(range(place, place + t)) AS word FROM found) GROUP BY rid
 ), listed AS (
