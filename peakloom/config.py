@@ -186,6 +186,26 @@ class ClusterConfig:
         return self.size_fraction.get(n_samples, 0.41)
 
 
+@dataclass(frozen=True)
+class ThresholdGraphConfig:
+    """Cuts of the threshold graph and the costs of the score that chooses among them."""
+
+    mask_weight: float = 0.38
+    # Cuts at these shares of all distances of a series, beside the fixed ones.
+    quantiles: tuple[float, ...] = (0.02, 0.05, 0.09, 0.14, 0.22, 0.32)
+    cuts: tuple[float, ...] = (0.24, 0.36, 0.52, 0.80, 1.0)
+    part_cost: float = 0.045
+    tiny_cost: float = 0.45
+    largest_cost: float = 1.20
+    largest_share: float = 0.55
+    least_size: int = 3
+    alone_limit: int = 12
+
+    def __post_init__(self) -> None:
+        _require(len(self.cuts) > 0, "at least one fixed cut is needed")
+        _require(all(0 <= q <= 1 for q in self.quantiles), "quantiles must lie between 0 and 1")
+
+
 @dataclass(frozen=True)
 class CalibrationConfig:
     mode: str = "height_stabilize"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 from peakloom.session import cut_lineage
 
 
-def connected_components(edges: DataFrame, keys: Sequence[str] = (), src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(
+    edges: DataFrame, keys: Sequence[str] = (), src: str = "src", dst: str = "dst", cut: Callable[[DataFrame], DataFrame] = cut_lineage
+) -> DataFrame:
     """Columns: keys, node, component (the smallest node id of the component).
 
     Each round takes the smallest label among the neighbours and then follows it to
     its own label, so the number of rounds grows with the logarithm of the longest
-    path.  Rounds are cut by reliable checkpoints.
+    path.  Rounds are cut by reliable checkpoints; graphs of many rounds take ``cut=settle``.
     """
     keys = list(keys)
     pairs = edges.select(*keys, F.col(src).alias("u"), F.col(dst).alias("v")).distinct()
-    both = cut_lineage(pairs.unionByName(pairs.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut_lineage(both.groupBy(*keys, F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("component")))
+    both = cut(pairs.unionByName(pairs.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = cut(both.groupBy(*keys, F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("component")))
     while True:
         neighbour = labels.select(*keys, F.col("node").alias("v"), F.col("component").alias("near"))
         lower = both.join(neighbour, [*keys, "v"]).groupBy(*keys, F.col("u").alias("node")).agg(F.min("near").alias("near"))
@@ -31,7 +33,7 @@ def connected_components(edges: DataFrame, keys: Sequence[str] = (), src: str =
         moved = stepped.join(target, [*keys, "component"], "left").select(
             *keys, "node", "old", F.coalesce(F.least("jump", "component"), "component").alias("component")
         )
-        moved = cut_lineage(moved)
+        moved = cut(moved)
         if moved.filter("old <> component").isEmpty():
             return moved.drop("old")
         labels = moved.drop("old")

@@ -8,6 +8,7 @@ from peakloom.plans import (  # noqa: F401
     spectrum_queries,
     structure_queries,
     text_queries,
+    threshold_queries,
 )
 from peakloom.plans.registry import ORACLES, QUERIES
 

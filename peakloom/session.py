@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the files.
+def cut_folder(spark: SparkSession) -> None:
+    """Set the checkpoint folder if none is set.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a
     local session without that setting gets a temporary folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,9 +31,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="peakloom-checkpoint-")
         context.setCheckpointDir(folder)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and continue from the files."""
+    cut_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table beside the checkpoints and read it back.
+
+    A checkpoint keeps the constraints of its plan.  In long loops these double from round to round and
+    planning with them; a table read from files carries none.
+    """
+    cut_folder(df.sparkSession)
+    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Hint a broadcast only when the side is proven to be small.
 
