@@ -145,16 +145,14 @@ WITH docs AS MATERIALIZED (
     UNION ALL {_found(3, _WEAK_ID, "true")}
     UNION ALL {_found(4, _RUN, _VALUE_RULE, f"length(regexp_extract(m, '{_VALUE}'))")}
   ) w
-  WHERE rid IN (SELECT rid FROM points)
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = w.rid AND b.start < w.stop AND w.start < b.stop)
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = w.rid AND b.start < w.stop AND w.start < b.stop)
 ), parts AS (
   SELECT *, {_ROLE} AS role FROM (SELECT * FROM base UNION ALL SELECT * FROM weak)
 ), linked AS (
-  SELECT a.rid, a.kind, a.start, a.stop
-  FROM parts a JOIN parts b ON a.rid = b.rid AND a.role <> b.role
+  SELECT DISTINCT a.rid, a.kind, a.start, a.stop
+  FROM parts a JOIN parts b ON a.rid = b.rid AND (a.role = 'secret') <> (b.role = 'secret')
    AND b.start < a.stop + {secret_scan.SCOPE} AND b.stop > a.start - {secret_scan.SCOPE}
   WHERE a.kind > 2
-  GROUP BY ALL HAVING count(DISTINCT b.role) = 2
 ), all_base AS (
   SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
          {_LIST} AS joined

@@ -1,8 +1,8 @@
 """Secret scan: base patterns, and weak parts that count only as members of a multipart credential.
 
 Base spans (assign, access, hex) always count.  Weak parts are account names, random-looking
-strings and endpoints; each is reported only if parts of both other roles (access identifier,
-secret, endpoint) lie within ``scope`` characters of it.  The interval join runs on cells of the
+strings and endpoints; each is reported only if a complementary part lies within ``scope`` characters
+of it: a secret beside an access identifier or an endpoint, an identifier or an endpoint beside a secret.  The interval join runs on cells of the
 text, so one join group holds the parts of a few hundred characters whatever the document's size,
 and a semi join returns each weak part once.
 
@@ -32,7 +32,6 @@ WEAK_ENDPOINT = r"(?i:https?|ftp|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9
 # Kinds in listed order; the number of a kind is its place.
 KINDS = ("assign", "access", "hex", "identifier", "value", "endpoint")
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "identifier": "id", "value": "secret", "endpoint": "endpoint"}
-ROLES = ("id", "secret", "endpoint")
 
 SCOPE = 200
 CELL = 256
@@ -91,20 +90,23 @@ def scan_rows(df: DataFrame) -> DataFrame:
             "_assign": _spans(text, ASSIGN, 0, 2, LEAST_VALUE),
             "_access": F.when(F.contains(text, F.lit("AKIA")), _spans(text, ACCESS, 1)).otherwise(F.array().cast(_SPANS)),
             "_hex": _spans(text, HEX, 2),
-            # Endpoints are rare; without one no weak part of the row can count.
             "_endpoint": F.when(F.contains(text, F.lit("://")), _spans(text, WEAK_ENDPOINT, 5)).otherwise(F.array().cast(_SPANS)),
         }
     )
-    near = F.size("_endpoint") > 0
     base = base.withColumns(
         {
             "_base": F.sort_array(F.concat("_assign", "_access", "_hex")),
-            "_weak": F.when(near, F.concat(_spans(text, WEAK_ID, 3), _spans(text, WEAK_SECRET, 4), "_endpoint")).otherwise(F.array().cast(_SPANS)),
+            "_weak": F.concat(_spans(text, WEAK_ID, 3), _spans(text, WEAK_SECRET, 4), "_endpoint"),
         }
     )
     # A weak part inside a base span adds nothing.
     free = F.filter("_weak", lambda w: ~F.exists("_base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return base.withColumn("_weak", free).drop("_assign", "_access", "_hex", "_endpoint")
+    base = base.withColumn("_weak", free).drop("_assign", "_access", "_hex", "_endpoint")
+    # Without a secret and a part of another role no weak part of the row can count.
+    is_secret = lambda p: _role(p["kind"]) == "secret"
+    secret = F.exists("_base", is_secret) | F.exists("_weak", is_secret)
+    other = F.exists("_base", lambda p: ~is_secret(p)) | F.exists("_weak", lambda p: ~is_secret(p))
+    return base.withColumn("_weak", F.when(secret & other, F.col("_weak")).otherwise(F.array().cast(_SPANS)))
 
 
 def _role(kind: Column) -> Column:
@@ -112,7 +114,7 @@ def _role(kind: Column) -> Column:
 
 
 def link_parts(found: DataFrame, scope: int = SCOPE, cell: int = CELL) -> DataFrame:
-    """_row, _linked: weak spans with parts of both other roles within the scope.
+    """_row, _linked: weak spans with a complementary part within the scope.
 
     ``found`` has _row, _base, _weak.  Interval join on (row, cell, role) with an overlap test.
     """
@@ -129,7 +131,7 @@ def link_parts(found: DataFrame, scope: int = SCOPE, cell: int = CELL) -> DataFr
     need = weak.select(
         "_row",
         "_p",
-        F.explode(F.array_except(F.array(*[F.lit(r) for r in ROLES]), F.array(_role(span["kind"])))).alias("role"),
+        F.explode(F.when(_role(span["kind"]) == "secret", F.array(F.lit("id"), F.lit("endpoint"))).otherwise(F.array(F.lit("secret")))).alias("role"),
     ).withColumn("cell", F.explode(F.sequence(F.floor((span["start"] - scope) / cell), F.floor((span["end"] + scope) / cell))))
     a, b = need.alias("a"), parts.alias("b")
     hit = a.join(
@@ -141,8 +143,7 @@ def link_parts(found: DataFrame, scope: int = SCOPE, cell: int = CELL) -> DataFr
         & (F.col("b.p_end") > F.col("a._p.start") - scope),
         "left_semi",
     )
-    whole = hit.groupBy("_row", "_p").agg(F.countDistinct("role").alias("roles")).filter(f"roles = {len(ROLES) - 1}")
-    return whole.groupBy("_row").agg(F.sort_array(F.collect_list("_p")).alias("_linked"))
+    return hit.select("_row", "_p").distinct().groupBy("_row").agg(F.sort_array(F.collect_list("_p")).alias("_linked"))
 
 
 def _joined(spans: Column) -> Column:
