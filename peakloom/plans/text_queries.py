@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from peakloom.functions import text
 from peakloom.plans import fixtures as fx
 from peakloom.plans.registry import query
-from peakloom.session import cut_lineage, table
+from peakloom.session import cut_lineage, new_folder, settle, table
 from peakloom.sinks import export
 from peakloom.sources import peaks as peak_files
 from peakloom.sources import sdf
@@ -200,7 +200,8 @@ def structure_round_trip(spark, sf_dir):
 
 @query(
     "structure_library",
-    "SELECT name, source_file, round(fw, 2) AS fw, carbon_count, carbon_count AS num_atoms, carbon_count - 1 AS num_bonds FROM fx_molecules",
+    """SELECT name, source_file, round(fw, 2) AS fw, carbon_count, 3 * carbon_count + 2 AS num_atoms,
+         3 * carbon_count + 1 AS num_bonds FROM fx_molecules""",
 )
 def structure_library(spark, sf_dir):
     return sdf.library(sdf.parse_molecules(structure_records(spark, sf_dir))).drop("mol_block")
@@ -208,14 +209,59 @@ def structure_library(spark, sf_dir):
 
 @query(
     "structure_formula",
-    """SELECT name, concat('C', CASE WHEN carbon_count > 1 THEN carbon_count::VARCHAR ELSE '' END) AS formula,
-         round(carbon_count * 12.011::DOUBLE, 4) AS weight, round(carbon_count * 12.0::DOUBLE, 6) AS exact_mass FROM fx_molecules""",
+    """SELECT name, concat('C', CASE WHEN carbon_count > 1 THEN carbon_count::VARCHAR ELSE '' END, 'H', h) AS formula,
+         round(carbon_count * 12.011::DOUBLE + h * 1.008::DOUBLE, 4) AS weight,
+         round(carbon_count * 12.0::DOUBLE + h * 1.00782503207::DOUBLE, 6) AS exact_mass
+       FROM (SELECT *, 2 * carbon_count + 2 AS h FROM fx_molecules)""",
 )
 def structure_formula(spark, sf_dir):
     counts = sdf.element_counts(sdf.parse_molecules(structure_records(spark, sf_dir)))
     return counts.select("name", "formula", "weight", "exact_mass")
 
 
+@query(
+    "molecule_at",
+    """WITH m AS (SELECT name, row_number() OVER (ORDER BY name) AS number, carbon_count FROM fx_molecules)
+       SELECT name, number, 'id' AS asked, name AS found, carbon_count, NULL::VARCHAR AS missing FROM m
+       UNION ALL SELECT name, number, 'number', name, carbon_count, NULL FROM m
+       UNION ALL SELECT name, number, 'absent', NULL, NULL, concat('no molecule with ID ', name, '?') FROM m""",
+)
+def molecule_at(spark, sf_dir):
+    """Structure files written in the order of names and read by number; every molecule looked up by ID and by number.
+
+    ``number`` counts through all files: the records of the files before, and the place in the own file.
+    """
+    records = structure_records(spark, sf_dir).withColumn("name", F.regexp_extract("record", r"^(\S+)", 1))
+    folder = new_folder(spark, "structures")
+    export.write_records(records.repartitionByRange("name").sortWithinPartitions("name"), folder)
+    parsed = settle(sdf.parse_molecules(sdf.read_numbered(spark, folder, "*.txt")))
+    held = parsed.groupBy("source_file").agg(F.count("*").alias("n"))
+    # One row per file.
+    before = F.sum("n").over(Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1))
+    files = held.select("source_file", F.coalesce(before, F.lit(0)).alias("before"))
+    rows = parsed.select("source_file", "record_no", "name").join(files, "source_file")
+    key = F.struct("name", (F.col("before") + F.col("record_no")).alias("number"))
+
+    def ask(kind: str, name, number) -> DataFrame:
+        request = F.struct(key.alias("key"), F.lit(kind).alias("asked")).alias("request_id")
+        return rows.select(request, "source_file", name.alias("molecule_id"), number.alias("record_no"))
+
+    none = F.lit(None)
+    requests = (
+        ask("id", F.col("name"), none.cast("bigint"))
+        .unionByName(ask("number", none.cast("string"), F.col("record_no")))
+        .unionByName(ask("absent", F.concat("name", F.lit("?")), none.cast("bigint")))
+    )
+    return sdf.find_molecules(parsed, requests).select(
+        "request_id.key.name",
+        "request_id.key.number",
+        "request_id.asked",
+        F.col("molecule.name").alias("found"),
+        F.size(F.filter("molecule.atoms", lambda a: a == "C")).alias("carbon_count"),
+        "missing",
+    )
+
+
 @query(
     "assigned_structure_file",
     """SELECT m.name, CAST(row_number() OVER (PARTITION BY c.mol_id ORDER BY c.c_index) - 1 AS INTEGER) AS c_index,

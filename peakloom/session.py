@@ -39,14 +39,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path beside the checkpoints, seen by driver and executors alike."""
+    cut_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table beside the checkpoints and read it back.
 
     In loops of many checkpoints the time of a round was seen to double from one to the next; with
     tables it stays the same.
     """
-    cut_folder(df.sparkSession)
-    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    folder = new_folder(df.sparkSession, "table")
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
