@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from peakloom.config import AssignConfig
 from peakloom.functions import scoring
-from peakloom.operators import structure
+from peakloom.operators import batch, structure
 from peakloom.plans import fixtures as fx
-from peakloom.plans import library_search
+from peakloom.plans import library_search, text_queries
 from peakloom.plans.registry import query
+from peakloom.session import settle
 from peakloom.sinks import export
+from peakloom.sources import sdf
 
 CONFIG = AssignConfig()
 
@@ -228,3 +230,38 @@ def journal_report(spark, sf_dir):
     return export.journal_text(
         molecules, export.carbon_text(carbons), export.proton_text(protons), "101", "401", "CDCl3"
     )
+
+
+@query(
+    "assign_batch",
+    """WITH m AS (SELECT mol_id, name, carbon_count, mol_id % 11 = 0 AS broken, mol_id % 2 = 0 AS filed, mol_id % 10 = 4 AS silent
+         FROM fx_molecules),
+       k AS (SELECT *, CASE WHEN broken THEN 'unreadable atom or bond block' WHEN NOT filed THEN 'no data file' END AS error FROM m),
+       p AS (SELECT mol_id, count(c_shift) AS n FROM fx_carbons GROUP BY 1),
+       -- A line of two numbers holds index and shift; with a second number that is no shift both are taken.
+       o AS (SELECT mol_id, sum(CASE WHEN shift BETWEEN 0 AND 240 THEN 1 ELSE 2 END) AS n FROM fx_observed GROUP BY 1)
+       SELECT k.name AS id, 'error' AS kind, error AS reason, CAST(1 AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_observed FROM k
+         WHERE error IS NOT NULL
+       UNION ALL SELECT k.name, 'carbon', NULL, carbon_count, CASE WHEN silent THEN 0 ELSE least(coalesce(p.n, 0), coalesce(o.n, 0)) END
+         FROM k LEFT JOIN p ON p.mol_id = k.mol_id LEFT JOIN o ON o.mol_id = k.mol_id WHERE error IS NULL AND carbon_count > 0
+       UNION ALL SELECT k.name, 'proton', NULL, CASE WHEN carbon_count = 1 THEN 4 WHEN carbon_count = 2 THEN 2
+         ELSE 2 + 2 * (carbon_count - 2) END, 0 FROM k WHERE error IS NULL AND carbon_count > 0
+       UNION ALL SELECT k.name, 'warning', 'no predicted 13C shifts', 1, 0 FROM k LEFT JOIN p ON p.mol_id = k.mol_id
+         WHERE error IS NULL AND coalesce(p.n, 0) = 0
+       UNION ALL SELECT k.name, 'warning', 'no shifts in the data file', 1, 0 FROM k LEFT JOIN o ON o.mol_id = k.mol_id
+         WHERE error IS NULL AND (silent OR coalesce(o.n, 0) = 0)""",
+)
+def assign_batch(spark, sf_dir):
+    """All molecules as structure records against data files; some records are broken, some files missing or without numbers."""
+    molecules = fx.molecules(spark, sf_dir).select("mol_id", "name")
+    records = text_queries.structure_records(spark, sf_dir).withColumn("name", F.regexp_extract("record", r"^(\S+)", 1))
+    broken = F.when(F.col("mol_id") % 11 == 0, F.regexp_replace("record", "(?m)^ *\\d+ *\\d+(.*V2000)", " xx xx$1")).otherwise(F.col("record"))
+    numbered = records.join(molecules, "name").select("source_file", F.col("mol_id").cast("bigint").alias("record_no"), broken.alias("record"))
+    parsed = settle(sdf.parse_molecules(numbered))
+    path = F.concat(F.lit("/spectra/"), "name", F.lit(".csv"))
+    files = molecules.filter("mol_id % 2 = 0").select("mol_id", path.alias("path"))
+    shift = F.concat((F.col("obs_id") + 1).cast("string"), F.lit("\t"), F.format_string("%.2f", "shift"))
+    line = F.when(F.col("mol_id") % 10 == 4, F.lit("no data")).otherwise(shift)
+    lines = fx.observed(spark, sf_dir).join(files, "mol_id").select("path", F.col("obs_id").alias("line_no"), line.alias("line"))
+    rows = batch.assign_batch(parsed, files.select("path"), lines, CONFIG)
+    return rows.groupBy("id", "kind", "reason").agg(F.count("*").alias("n_rows"), F.count("observed").alias("n_observed"))

@@ -35,8 +35,9 @@ CARBON_TAG = "Predicted 13C shifts"
 PROTON_TAG = "HydrogenShifts"
 # Shift lines: number, optional letters, [1-based atom], value.
 STRICT_SHIFT = r"(?m)^\s*\d+[a-zA-Z]*\[(\d+)\]\s+([-+]?\d*\.?\d+)"
-# Looser form of the assignment reader: the bracket may stand anywhere in the line.
-LOOSE_SHIFT = r"(?m)\[(\d+)\]\s+([-+]?\d+(?:\.\d+)?)"
+# Looser form of the assignment reader: the bracket may stand anywhere in the line, the first one counts.
+LOOSE_SHIFT = r"(?m)^[^\n]*?\[(\d+)\][ \t]+([-+]?\d+(?:\.\d+)?)"
+NO_WEIGHT = "no FW field"
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -195,7 +196,7 @@ def parse_molecules(records: DataFrame) -> DataFrame:
         "carbon_shifts",
         "proton_shifts",
         F.when(~F.col("readable"), F.lit("unreadable atom or bond block"))
-        .when(fw.isNull(), F.lit("no FW field"))
+        .when(fw.isNull(), F.lit(NO_WEIGHT))
         .alias("problem"),
     )
 
