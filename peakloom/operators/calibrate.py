@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from peakloom.config import CalibrationConfig
 from peakloom.functions import spectra
+from peakloom.session import settle
 
 
 @dataclass(frozen=True)
@@ -72,6 +73,7 @@ def _with_bins(work: DataFrame, config: CalibrationConfig) -> DataFrame:
 def _subtract(work: DataFrame, keys: list[str], by: str) -> tuple[DataFrame, DataFrame]:
     """Median residual per bin, and the residual without it."""
     bias = work.filter(F.col(by).isNotNull()).groupBy(*keys, by).agg(F.median("residual").alias("bias")).dropna()
+    bias = settle(bias)
     rest = (
         work.join(bias, [*keys, by], "left")
         .withColumn("residual", F.col("residual") - F.coalesce("bias", F.lit(0.0)))
@@ -83,7 +85,8 @@ def _subtract(work: DataFrame, keys: list[str], by: str) -> tuple[DataFrame, Dat
 def train(peaks: DataFrame, keys: Sequence[str], sample: Sequence[str], config: CalibrationConfig) -> CalibrationModel:
     """Fit the biases of every ``keys`` group; ``sample`` separates the spectra of a group."""
     keys = list(keys)
-    work = targets(prepare(peaks), keys, sample, config)
+    # Each step is written once: the next one reads it both for its medians and for its rows.
+    work = settle(targets(settle(prepare(peaks)), keys, sample, config))
 
     def n_bins(column: str, width: float) -> Column:
         return F.greatest(F.ceil((F.max(column) - F.min(column)) / F.lit(width)), F.lit(1)).cast("int")
@@ -97,21 +100,28 @@ def train(peaks: DataFrame, keys: Sequence[str], sample: Sequence[str], config:
         F.bool_or("by_area").alias("by_area"),
         F.median("target").alias("global_bias"),
     )
+    base = settle(base)
     binned = _with_bins(work.join(base.drop("by_area", "n_rows"), keys), config)
     rest = binned.withColumn("residual", F.col("target") - F.col("global_bias"))
-    ppm_bias, rest = _subtract(rest, keys, "ppm_bin")
-    width_bias, rest = _subtract(rest, keys, "width_bin")
-    type_bias = _subtract(rest, keys, "type")[0] if config.use_type else None
+    ppm_bias, rest = _subtract(settle(rest), keys, "ppm_bin")
+    width_bias, rest = _subtract(settle(rest), keys, "width_bin")
+    type_bias = _subtract(settle(rest), keys, "type")[0] if config.use_type else None
     return CalibrationModel(tuple(keys), config, base, ppm_bias, width_bias, type_bias)
 
 
 def correct(peaks: DataFrame, model: CalibrationModel) -> DataFrame:
     """Add ``delta`` and ``height_corr``; bins without a bias add nothing.
 
-    The correction is clipped only when heights are stabilised.
+    The correction is clipped only when heights are stabilised.  A model without keys holds for all rows.
     """
     keys, config = list(model.keys), model.config
-    work = _with_bins(prepare(peaks).join(model.base.drop("n_rows", "by_area"), keys), config)
+    peaks = prepare(peaks)
+    if not keys:
+        keys, one = ["_all"], F.lit(0)
+        peaks = peaks.withColumn("_all", one)
+        tables = (model.base, model.ppm_bias, model.width_bias, model.type_bias)
+        model = CalibrationModel(("_all",), config, *[t if t is None else t.withColumn("_all", one) for t in tables])
+    work = _with_bins(peaks.join(model.base.drop("n_rows", "by_area"), keys), config)
     work = work.join(model.ppm_bias.withColumnRenamed("bias", "_p"), [*keys, "ppm_bin"], "left")
     work = work.join(model.width_bias.withColumnRenamed("bias", "_w"), [*keys, "width_bin"], "left")
     zero = F.lit(0.0)
@@ -124,7 +134,7 @@ def correct(peaks: DataFrame, model: CalibrationModel) -> DataFrame:
     return (
         work.withColumn("delta", delta)
         .withColumn("height_corr", F.greatest("height", F.lit(1e-8)) * F.exp("delta"))
-        .drop("_p", "_w", "_t", "ppm_min", "ppm_bins", "width_min", "width_bins", "global_bias")
+        .drop("_all", "_p", "_w", "_t", "ppm_min", "ppm_bins", "width_min", "width_bins", "global_bias")
     )
 
 

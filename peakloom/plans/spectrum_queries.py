@@ -10,6 +10,8 @@ from peakloom.operators import calibrate, dept, mixture
 from peakloom.operators.band import band_join
 from peakloom.plans import fixtures as fx
 from peakloom.plans.registry import query
+from peakloom.session import new_folder
+from peakloom.sinks import models
 
 HEIGHT = CalibrationConfig()
 AREA = CalibrationConfig(mode="area_match")
@@ -109,6 +111,17 @@ def calibration_apply(spark, sf_dir):
     return _applied_output(spark, sf_dir, HEIGHT)
 
 
+@query("calibration_saved", _train_sql(BY_HEIGHT, False) + " " + APPLIED.format(CLIPPED.format(SUM_2), "r2"))
+def calibration_saved(spark, sf_dir):
+    """The model of all series written to files, read back and applied."""
+    peaks = heights(spark, sf_dir)
+    folder = new_folder(spark, "calibration")
+    models.save_model(calibrate.train(peaks, ["series_id"], ["sample_id"], HEIGHT), folder)
+    kind = dict(peaks.dtypes)["series_id"]
+    corrected = calibrate.correct(peaks, models.load_model(spark, folder, {"series_id": kind}))
+    return corrected.select("series_id", "peak_id", F.round("delta", 6).alias("delta"), F.round("height_corr", 6).alias("height_corr"))
+
+
 @query("calibration_apply_area", _train_sql(BY_AREA, False) + " " + APPLIED.format(SUM_2, "r2"))
 def calibration_apply_area(spark, sf_dir):
     return _applied_output(spark, sf_dir, AREA)
