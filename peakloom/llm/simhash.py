@@ -15,6 +15,7 @@ Nulls: a null text has no words.  Rows without words have fingerprint zero.  Rep
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,11 +166,17 @@ def near_components(docs: DataFrame, shingle: int = 3, bits: int = REACH_BITS) -
 # --- near duplicates by similarity ---------------------------------------------------------
 #
 # At a similarity of 0.8 fingerprints differ in 15 % of their bits, too many for the reach of the
-# anchors above.  So many 32-bit samples are taken from a long fingerprint, and each is sent to the
+# anchors above.  So 32-bit samples are taken from a long fingerprint, and each is sent to the
 # anchor nearest to it.  Texts that share an anchor and agree in most of one lane are compared exactly.
+# That joins most of a large group by few links.  What it misses is found by an exact join: shingles
+# stand in one order for all texts, frequent ones last, and two sets of similarity t share one of the
+# first n - ceil(t n) + 1 of both.  Texts that share one and are not yet joined are compared exactly.
 
 LANES = 10
-BANDS = 160
+BANDS = 32
+# Shingles met this often in a batch are put last in the order; only the most frequent ones are sent.
+FREQUENT = 3
+MAX_FREQUENT = 500_000
 BAND_BITS = 32
 CHECK_BITS = 21
 # Row numbers are broadcast up to this many (8 bytes each); beyond it the join is shuffled.
@@ -248,12 +255,117 @@ def similar_enough(pairs: DataFrame, shingle: int, similarity: float) -> DataFra
     return pairs.mapInArrow(run, "src bigint, dst bigint")
 
 
+def frequent_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of frequent shingles: a summary of bounded size that decides speed, never results."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column("text")]
+            value, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+            often = n >= FREQUENT
+            yield pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
+
+    counts = texts.select("text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toPandas()
+    tokens = top["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], top["n"].to_numpy(np.int64)[order]
+
+
+def prefix(hashes: np.ndarray, similarity: float, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set of hashes that a set of that similarity must share one of; frequent ones come last."""
+    hashes = np.unique(hashes)
+    weight = np.zeros(len(hashes), np.int64)
+    if len(tokens):
+        at = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
+        weight = np.where(tokens[at] == hashes, counts[at], 0)
+    # The guard keeps float noise from raising the number of shared shingles.
+    keep = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1 if len(hashes) else 0
+    return hashes[np.lexsort((hashes, weight))][:keep]
+
+
+def _prefix_rows(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """token, size, place, member, part: a row for each prefix shingle of (_row, part, text)."""
+    frequent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "size", "place", "member", "part"]
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1_024):
+                out = []
+                some = batch.slice(a, 1_024)
+                for row, part, text in zip(some.column("_row").to_pylist(), some.column("part").to_pylist(), some.column("text"), strict=True):
+                    hashes = np.unique(shingle_hashes(text.as_py(), shingle))
+                    first = prefix(hashes, similarity, *frequent.value).view(np.int64)
+                    n = len(first)
+                    out.append((first, np.full(n, len(hashes), np.int32), np.arange(n, dtype=np.int32), np.full(n, row), np.full(n, part)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+
+    return texts.select("_row", "part", "text").mapInArrow(run, "token bigint, size int, place int, member bigint, part bigint")
+
+
+def _cross_pairs(similarity: float):
+    """src, dst from rows sorted by (token, size): members of different parts whose sizes and places allow the similarity.
+
+    Of a token that runs over several batches only the members that are not too small for the next ones are kept.
+    """
+    share = similarity / (1 + similarity)
+
+    def meet(token, size, place, member, part) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of one token, in tiles."""
+        src, dst = [], []
+        low = np.searchsorted(size, np.ceil(similarity * size - 1e-9))
+        for a in range(0, len(size), 256):
+            b, start = min(a + 256, len(size)), low[a]
+            here, there = np.arange(a, b)[:, None], np.arange(start, b)[None, :]
+            rest = np.minimum(size[here] - place[here], size[there] - place[there])
+            ok = (there < here) & (part[here] != part[there]) & (rest >= share * (size[here] + size[there]) - 1e-9)
+            x, y = np.nonzero(ok)
+            src.append(member[x + a])
+            dst.append(member[y + start])
+        return np.concatenate(src), np.concatenate(dst)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            if held is not None and len(cols[0]) and held[0][0] == cols[0][0]:
+                cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            cuts = np.flatnonzero(np.diff(cols[0])) + 1
+            src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            starts, ends = np.r_[0, cuts], np.r_[cuts, len(cols[0])]
+            for a, b in zip(starts, ends, strict=True):
+                if b - a > 1 and (cols[4][a:b] != cols[4][a]).any():
+                    x, y = meet(*(c[a:b] for c in cols))
+                    src.append(x)
+                    dst.append(y)
+            last, size = starts[-1], cols[1]
+            near = size[last:] >= similarity * size[-1] - 1e-9
+            held = [c[last:][near] for c in cols]
+            x, y = np.concatenate(src), np.concatenate(dst)
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["src", "dst"])
+
+    return run
+
+
+def _checked(links: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The (src, dst) of candidate links that are similar enough; only texts with a candidate are moved."""
+    linked = broadcast_checked(links.select(F.explode(F.array("src", "dst")).alias("_row")).distinct(), MAX_BROADCAST_ROWS)
+    texts = settle(rows.select("_row", "text").join(linked, "_row", "left_semi"))
+    a = texts.select(F.col("_row").alias("src"), F.col("text").alias("src_text"))
+    b = texts.select(F.col("_row").alias("dst"), F.col("text").alias("dst_text"))
+    return settle(similar_enough(links.join(a, "src").join(b, "dst"), shingle, similarity))
+
+
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = LANES, bands: int = BANDS) -> DataFrame:
     """One row of each group of near duplicates, with the columns of ``docs``: the smallest doc_id.
 
     Rows whose lower-cased words are equal are one text.  Links between different texts are checked
-    on their shingle sets; groups are the components of the links.  Candidates come from sampled
-    bands, so a pair close to the limit can be missed (see the README for the recall).
+    on their shingle sets; groups are the components of the links.  Sampled bands join most of a group,
+    the exact join of prefixes finds every other pair, so the components are those of all links.
     """
     rows = with_row(packed(docs, "doc_id", "text"))
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), GAP, " "))
@@ -264,12 +376,14 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes
     placed = _homes(prints.join(heads, "_row", "left_semi"), lanes, bands)
     placed = placed.repartition(shuffle_partitions(docs), "key").sortWithinPartitions("key", "member")
     links = settle(placed.mapInArrow(_leaders, "src bigint, dst bigint").distinct())
-    # Only texts with a candidate are moved.
-    linked = broadcast_checked(links.select(F.explode(F.array("src", "dst")).alias("_row")).distinct(), MAX_BROADCAST_ROWS)
-    texts = settle(rows.select("_row", "text").join(linked, "_row", "left_semi"))
-    a = texts.select(F.col("_row").alias("src"), F.col("text").alias("src_text"))
-    b = texts.select(F.col("_row").alias("dst"), F.col("text").alias("dst_text"))
-    true = settle(similar_enough(links.join(a, "src").join(b, "dst"), shingle, similarity))
+    quick = _checked(links, rows, shingle, similarity)
+    parts = connected_components(quick).withColumnRenamed("node", "_row").withColumnRenamed("component", "part")
+    of_head = heads.select("_row").join(parts, "_row", "left").select("_row", F.coalesce("part", "_row").alias("part"))
+    told = rows.select("_row", "text").join(settle(of_head), "_row")
+    tokens = _prefix_rows(told, shingle, similarity)
+    tokens = tokens.repartition(shuffle_partitions(docs), "token").sortWithinPartitions("token", "size")
+    others = settle(tokens.mapInArrow(_cross_pairs(similarity), "src bigint, dst bigint").distinct())
+    true = quick.unionByName(_checked(others, rows, shingle, similarity))
     roots = connected_components(true).withColumnRenamed("node", "_row")
     grouped = heads.join(roots, "_row").groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_row")).alias("h"))
     near = roots.join(grouped.select(F.col("h._row").alias("_row")), "_row", "left_anti").select("_row")
