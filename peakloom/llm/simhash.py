@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import GAP, ascii_lower, broadcast_checked, packed, settle, shuffle_partitions, tokens_of, unpacked, with_row
+from peakloom.llm.common import GAP, ascii_lower, broadcast_checked, packed, settle, shuffle_partitions, tokens_of, unpacked, with_row, written
 from peakloom.operators.components import connected_components
 
 SEED = 42
@@ -354,10 +354,10 @@ def _cross_pairs(similarity: float):
 def _checked(links: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The (src, dst) of candidate links that are similar enough; only texts with a candidate are moved."""
     linked = broadcast_checked(links.select(F.explode(F.array("src", "dst")).alias("_row")).distinct(), MAX_BROADCAST_ROWS)
-    texts = settle(rows.select("_row", "text").join(linked, "_row", "left_semi"))
+    texts = written(rows.select("_row", "text").join(linked, "_row", "left_semi"))
     a = texts.select(F.col("_row").alias("src"), F.col("text").alias("src_text"))
     b = texts.select(F.col("_row").alias("dst"), F.col("text").alias("dst_text"))
-    return settle(similar_enough(links.join(a, "src").join(b, "dst"), shingle, similarity))
+    return written(similar_enough(links.join(a, "src").join(b, "dst"), shingle, similarity))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = LANES, bands: int = BANDS) -> DataFrame:
@@ -370,23 +370,23 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes
     rows = with_row(packed(docs, "doc_id", "text"))
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), GAP, " "))
     same = F.md5(ascii_lower(words))
-    prints = settle(fingerprints(rows.select("_row", "doc_id", same.alias("same"), "text"), shingle, lanes))
+    prints = written(fingerprints(rows.select("_row", "doc_id", same.alias("same"), "text"), shingle, lanes))
     head = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("h")
-    heads = settle(prints.groupBy("same").agg(head)).select(F.col("h._row").alias("_row"), F.col("h.doc_id").alias("_id"))
+    heads = written(prints.groupBy("same").agg(head)).select(F.col("h._row").alias("_row"), F.col("h.doc_id").alias("_id"))
     placed = _homes(prints.join(heads, "_row", "left_semi"), lanes, bands)
     placed = placed.repartition(shuffle_partitions(docs), "key").sortWithinPartitions("key", "member")
-    links = settle(placed.mapInArrow(_leaders, "src bigint, dst bigint").distinct())
+    links = written(placed.mapInArrow(_leaders, "src bigint, dst bigint").distinct())
     quick = _checked(links, rows, shingle, similarity)
-    parts = connected_components(quick).withColumnRenamed("node", "_row").withColumnRenamed("component", "part")
+    parts = connected_components(quick, cut=written).withColumnRenamed("node", "_row").withColumnRenamed("component", "part")
     of_head = heads.select("_row").join(parts, "_row", "left").select("_row", F.coalesce("part", "_row").alias("part"))
-    told = rows.select("_row", "text").join(settle(of_head), "_row")
+    told = rows.select("_row", "text").join(written(of_head), "_row")
     tokens = _prefix_rows(told, shingle, similarity)
     tokens = tokens.repartition(shuffle_partitions(docs), "token").sortWithinPartitions("token", "size")
-    others = settle(tokens.mapInArrow(_cross_pairs(similarity), "src bigint, dst bigint").distinct())
+    others = written(tokens.mapInArrow(_cross_pairs(similarity), "src bigint, dst bigint").distinct())
     true = quick.unionByName(_checked(others, rows, shingle, similarity))
-    roots = connected_components(true).withColumnRenamed("node", "_row")
+    roots = connected_components(true, cut=written).withColumnRenamed("node", "_row")
     grouped = heads.join(roots, "_row").groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_row")).alias("h"))
     near = roots.join(grouped.select(F.col("h._row").alias("_row")), "_row", "left_anti").select("_row")
     copies = prints.select("_row").join(heads.select("_row"), "_row", "left_anti")
-    gone = broadcast_checked(settle(copies.unionByName(near)), MAX_BROADCAST_ROWS)
+    gone = broadcast_checked(written(copies.unionByName(near)), MAX_BROADCAST_ROWS)
     return rows.join(gone, "_row", "left_anti").select(*unpacked(docs.columns))
