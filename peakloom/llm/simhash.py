@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakloom import session
 from peakloom.llm.common import GAP, ascii_lower, broadcast_checked, packed, settle, shuffle_partitions, tokens_of, unpacked, with_row, written
 from peakloom.operators.components import connected_components
 
@@ -155,7 +156,7 @@ def near_components(docs: DataFrame, shingle: int = 3, bits: int = REACH_BITS) -
     """
     prints = settle(fingerprints(docs.select("doc_id", "text"), shingle))
     least = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(settle(link_fingerprints(least, bits)))
+    roots = connected_components(settle(link_fingerprints(least, bits)), cut=session.written)
     named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = settle(named)
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))

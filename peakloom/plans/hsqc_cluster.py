@@ -74,7 +74,7 @@ def cluster_hsqc(peaks: DataFrame, n_samples: int, track_config: HsqcTrackConfig
     rows = cut_lineage(hsqc_clusters.describe(hsqc_clusters.number_tracks(found), n_samples))
     labelled = rows.join(label_tracks(rows, n_samples, config), ["series_id", "idx"])
     axes = [("center_c", track_config.c_tol * 0.5), ("center_h", track_config.h_tol * 0.5)]
-    cleaned = residual.mask_residual(cut_lineage(labelled), n_samples, config, axes, strict=False)
+    cleaned = cut_lineage(residual.mask_residual(cut_lineage(labelled), n_samples, config, axes, strict=False))
     return residual.drop_reused_singles(cleaned)
 
 
